@@ -12,6 +12,7 @@ repeated rows are packed once per row; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,24 +27,51 @@ TOKENIZER = "word_bpe_49k.json"
 RANK_BUCKETS = 256
 
 
-class _Ids(dict):
-    """Ids of a white-space separated word as little-endian 32-bit numbers; at most `room` words are remembered."""
+#: A word of these characters is lower-cased and cut by rule alone, as the tokenizer's own rules would.
+_PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_known: dict[str, "_Ids"] = {}
+
 
-    def __init__(self, encode, room: int = 400_000):
+class _Parts(dict):
+    """Ids of an unbroken part as little-endian 32-bit numbers; at most `room` parts are remembered."""
+
+    def __init__(self, encode, room: int = 700_000):
         super().__init__()
         self.encode, self.room = encode, room
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         import numpy as np
 
-        ids = np.asarray(self.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= self.room:
-                self.clear()
+        ids = np.asarray(self.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(part) <= 64 and len(self) < self.room:
+            self[part] = ids
+        return ids
+
+
+class _Ids(dict):
+    """Ids of a white-space separated word, put together from its parts' ids. One per Python worker and tokenizer."""
+
+    def __init__(self, encode, room: int = 500_000):
+        super().__init__()
+        self.parts, self.room = _Parts(encode), room
+
+    def __missing__(self, word: str) -> bytes:
+        if _PLAIN.fullmatch(word) and "<|" not in word:  # special tokens are cut before lower-casing
+            ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(word.lower())))
+        else:
+            ids = self.parts[word]
+        if len(word) <= 64 and len(self) < self.room:
             self[word] = ids
         return ids
 
 
+def known_ids(tokenizer: str) -> _Ids:
+    if tokenizer not in _known:
+        _known[tokenizer] = _Ids(_tokenizer(tokenizer).encode)
+    return _known[tokenizer]
+
+
 def _tokenizer(name: str):
     from tokenizers import Tokenizer
 
@@ -66,8 +94,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOK
     odd = "\x1c\x1d\x1e\x1f"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer)
-        known, last, step = _Ids(tok.encode), end_id.to_bytes(4, "little"), capacity * 4
+        from cladeframe.llm.packing import known_ids  # the worker's own, kept from task to task
+
+        known, last, step = known_ids(tokenizer), end_id.to_bytes(4, "little"), capacity * 4
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
