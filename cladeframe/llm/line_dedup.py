@@ -105,7 +105,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = repeated_runs(lines, min_words).where("not first")
     gone = runs.select(*_DOC, F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("i"))
     gone = materialize(gone.groupBy(*_DOC).agg(F.collect_set("i").alias("gone")), "gone")
-    l, r = docs.withColumn("_t", F.xxhash64("text")).alias("l"), gone.alias("r")
+    # `gone` grows with the input: never broadcast, so that the join costs alike at every size.
+    l, r = docs.withColumn("_t", F.xxhash64("text")).alias("l"), gone.hint("merge").alias("r")
     both = l.join(r, (F.coalesce(F.col("l.doc_id").cast("long"), F.lit(_NO_ID)) == F.col("r.d")) & (F.col("l._t") == F.col("r.t")), "left")
     both = both.select("l.*", F.split("l.text", "\n", -1).alias("_all"), F.col("gone").alias("_gone"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
