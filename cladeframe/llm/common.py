@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +28,14 @@ def documents(spark, sf_dir: str) -> DataFrame:
 def prefixed(df: DataFrame, keep: list[str]) -> DataFrame:
     """Only the columns an operator works on, so that extra columns of any name cannot clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in keep])
+
+
+_kept: dict[str, Any] = {}
+
+
+def kept_in_worker(name: str, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one object, so that workers do not gather every operator's."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = build()
+    return _kept[name]

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .common import kept_in_worker
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -30,7 +31,6 @@ RANK_BUCKETS = 256
 #: A word of these characters is lower-cased and cut by rule alone, as the tokenizer's own rules would.
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
-_known: dict[str, "_Ids"] = {}
 
 
 class _Parts(dict):
@@ -67,9 +67,7 @@ class _Ids(dict):
 
 
 def known_ids(tokenizer: str) -> _Ids:
-    if tokenizer not in _known:
-        _known[tokenizer] = _Ids(_tokenizer(tokenizer).encode)
-    return _known[tokenizer]
+    return kept_in_worker(f"ids {tokenizer}", lambda: _Ids(_tokenizer(tokenizer).encode))
 
 
 def _tokenizer(name: str):
