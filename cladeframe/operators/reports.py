@@ -67,3 +67,16 @@ def change_rate(diff: DataFrame, most: float = 0.10) -> DataFrame:
     """(n_old, changed, refused): an update that changes over `most` of the old rows is refused."""
     s = diff.agg(F.count("old_id").alias("n_old"), F.count_if(F.col("op") != "same").alias("changed"))
     return s.withColumn("refused", F.col("changed") > most * F.greatest("n_old", F.lit(1)))
+
+
+def second_field(matches: DataFrame, df: DataFrame, column: str, values: DataFrame, rid: str) -> DataFrame:
+    """matches whose record's `column` is one of values (value2), with that value."""
+    keys = values.select("value2", fold(F.col("value2")).alias("_k"))
+    of = df.select(rid, fold(F.col(column)).alias("_k")).join(keys, "_k").drop("_k")
+    return matches.join(of, rid)
+
+
+def combinations_not_found(terms: DataFrame, values: list[str], found: DataFrame) -> DataFrame:
+    """(term, value2) that no record has; values are a request's short list."""
+    every = terms.select("term", F.explode(F.array(*[F.lit(v) for v in values])).alias("value2"))
+    return every.join(found.select("term", "value2").distinct(), ["term", "value2"], "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_sequence, stop_count
@@ -23,6 +23,26 @@ def composition(df: DataFrame, seq: str) -> DataFrame:
     return df.select("*", F.round(100.0 * (F.col("g") + F.col("c")) / F.greatest(known, F.lit(1)), 2).alias("gc_pct"), (F.col("length") - known).alias("ambiguous"), frame.alias("frame"), best.alias("stops")).drop("_s0", "_s1", "_s2")
 
 
+def sample_per_name(df: DataFrame, keys: list[str], seq: str, rid: str, most: int) -> DataFrame:
+    """The `most` longest records of each name (ties: least id): what a report on pairs is made of."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(F.length(seq)), rid)
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def length_histogram(df: DataFrame, seq: str, width: int = 25) -> DataFrame:
+    """(bin, n): sequences by length in bins of `width`; bins without any between the least and the greatest are kept."""
+    n = df.groupBy(F.floor(F.length(seq) / width).alias("bin")).agg(F.count("*").alias("n"))
+    every = n.agg(F.explode(F.sequence(F.min("bin"), F.max("bin"))).alias("bin"))
+    return every.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def gc3(seq: Column, frame: int) -> Column:
+    """Percent of G and C among third codon positions with a known base, in a forward frame; null without any."""
+    codons = F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("..(.)"), F.lit(1))
+    thirds = F.regexp_replace(F.array_join(codons, ""), "[^ACGT]", "")
+    return F.round(100.0 * _n(thirds, "GC") / F.nullif(F.length(thirds), F.lit(0)), 2)
+
+
 def pair_counts(df: DataFrame, group: str, rid: str, seq: str) -> DataFrame:
     """(group, i, j, sites, same, ts, tv) for i < j within a group, from one pass over each pair's aligned columns.
 

@@ -33,7 +33,7 @@ def record_sql(where: str = "true") -> str:
       concat('Family', CAST(pk % 2 AS VARCHAR(20))) AS family, concat('Genus', chr(CAST(97 + pk % 4 AS INT))) AS genus,
       CASE WHEN rid % 13 = 0 THEN NULL WHEN spk = 11 THEN concat('Genus', chr(CAST(97 + pk % 4 AS INT)), ' sp.')
            ELSE concat('Genus', chr(CAST(97 + pk % 4 AS INT)), ' epithet', chr(CAST(97 + spk AS INT))) END AS species,
-      n_name AS country, r_name AS region,
+      n_name AS country, r_name AS region, concat('[', CAST(n_nationkey * 3 - 40 AS VARCHAR(20)), '.5, ', CAST(n_nationkey * 7 - 90 AS VARCHAR(20)), '.25]') AS coord,
       CASE WHEN rid % 97 = 0 THEN concat(substr(m, 1, 30), 'TAATTAATTAA', substr(m, 42))
            WHEN rid % 7 = 0 THEN substr(m, 1, 600) WHEN rid % 11 = 0 THEN substr(m, 21)
            WHEN rid % 31 = 0 THEN concat('NNN', substr(m, 1, 200), 'NRY', substr(m, 204)) ELSE m END AS nuc

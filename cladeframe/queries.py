@@ -153,12 +153,16 @@ d AS (SELECT 'same' AS op, old_id, new_id FROM x WHERE old_id IS NOT NULL AND ne
 SELECT CASE WHEN old_id IS NULL THEN 'new' WHEN new_id IS NULL THEN 'gone' ELSE 'chg' END, old_id, new_id FROM l FULL JOIN r USING (p, q, j)) """
 
 
-def _diff(spark, sf):
+def _versions(spark, sf):
     li = read(spark, sf, "lineitem")
     rid = "CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS id"
     o = li.selectExpr("l_orderkey", "l_linenumber", "md5(concat(l_partkey, '|', l_suppkey, '|', cast(l_quantity as int))) as h", rid)
     new = o.where("id % 19 <> 0").withColumn("h", F.expr("case when id % 23 = 0 then 'changed' else h end"))
-    return reports.snapshot_diff(o.where("id % 17 <> 0"), new, ["l_orderkey", "l_linenumber"], "id", "id")
+    return o.where("id % 17 <> 0"), new
+
+
+def _diff(spark, sf):
+    return reports.snapshot_diff(*_versions(spark, sf), ["l_orderkey", "l_linenumber"], "id", "id")
 
 
 @query(_DIFF + "SELECT op, old_id, new_id FROM d")
@@ -203,22 +207,6 @@ def concordance_bins(spark, sf):
     return g.agg(F.count("*").alias("n"), F.count_distinct("species").alias("species"), F.count_distinct("country").alias("countries")).withColumn("shared", F.col("species") > 1)
 
 
-_SLICE = "rid <= 120"
-_PAIRS = f"""WITH rec AS ({record_sql(_SLICE)}), r AS (SELECT marker_code, rid, nuc FROM rec),
-p AS (SELECT a.marker_code AS marker_code, a.rid AS i, b.rid AS j, unnest(range(1, least(length(a.nuc), length(b.nuc)) + 1)) AS k, a.nuc AS x, b.nuc AS y FROM r a JOIN r b ON a.marker_code = b.marker_code AND a.rid < b.rid),
-q AS (SELECT marker_code, i, j, substr(x, k::INT, 1) AS x, substr(y, k::INT, 1) AS y FROM p),
-c AS (SELECT marker_code, i, j, count(*) AS sites, sum((x = y)::INT) AS same, sum((x <> y AND (x IN ('A', 'G')) = (y IN ('A', 'G')))::INT) AS ts, sum((x <> y AND (x IN ('A', 'G')) <> (y IN ('A', 'G')))::INT) AS tv
-FROM q WHERE x IN ('A', 'C', 'G', 'T') AND y IN ('A', 'C', 'G', 'T') GROUP BY ALL)"""
-
-
-@query(f"""{_PAIRS}, d AS (SELECT *, ts::DOUBLE / sites AS p, tv::DOUBLE / sites AS q FROM c), e AS (SELECT *, p + q AS d0,
-CASE WHEN 1 - 4 * (p + q) / 3 > 0 THEN -0.75 * ln(1 - 4 * (p + q) / 3) END AS d1, CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q) END AS d2 FROM d WHERE sites >= 100)
-SELECT marker_code, i, j, sites, same, ts, tv, round(CASE WHEN d0 < 1e-7 THEN 0 ELSE d0 END, 6) AS d_p, round(CASE WHEN abs(d1) < 1e-7 THEN 0 WHEN d1 <= 1 THEN d1 END, 6) AS d_jc, round(CASE WHEN abs(d2) < 1e-7 THEN 0 WHEN d2 <= 1 THEN d2 END, 6) AS d_k2p FROM e""")
-def pair_distances(spark, sf):
-    c = sequences.pair_counts(records(spark, sf, _SLICE), "marker_code", "rid", "nuc").where("sites >= 100")
-    return c.select("*", *[F.round(sequences.distance(m), 6).alias(f"d_{m}") for m in ("p", "jc", "k2p")])
-
-
 @query(f"""WITH z AS ({record_sql()}), c AS (SELECT country AS zone, species, count(*) AS c FROM z WHERE species IS NOT NULL GROUP BY ALL),
 s AS (SELECT zone, sum(c)::BIGINT AS n, count(*) AS s, count(*) FILTER (WHERE c = 1) AS f1, count(*) FILTER (WHERE c = 2) AS f2 FROM c GROUP BY zone)
 SELECT zone, n, s, f1, f2, round(s + (n - 1)::DOUBLE / n * f1 * (f1 - 1) / (2 * (f2 + 1)), 6) AS chao1,
