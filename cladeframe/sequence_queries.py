@@ -305,8 +305,9 @@ def taxonomy_overview(spark, sf):
 
 
 def _events(spark, sf):
-    path = f"{sf}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    shape = spark.read.parquet(f"{sf}/events.parquet").schema
+    # A pattern, since a stream's path may not be a single file's name.
+    return spark.readStream.schema(shape).parquet(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY ALL")
