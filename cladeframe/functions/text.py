@@ -50,7 +50,7 @@ def best_taxon(*ranks: Column) -> Column:
 
 def clean_sequence(c: Column) -> Column:
     """Upper case, no gaps, dots or white space, U as T, no N at either end."""
-    s = F.translate(F.upper(F.regexp_replace(c, r"[-.\s]", "")), "U", "T")
+    s = F.replace(F.upper(F.regexp_replace(c, r"[-.\s]", "")), F.lit("U"), F.lit("T"))
     return F.regexp_replace(s, "^N+|N+$", "")
 
 
@@ -65,8 +65,9 @@ STOPS = {1: ("TAA", "TAG", "TGA"), 2: ("TAA", "TAG", "AGA", "AGG"), 4: ("TAA", "
 
 def stop_count(seq: Column, frame: int, code: int = 5) -> Column:
     """Stop codons in a forward frame; the last whole codon never counts."""
-    codons = F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("..."), F.lit(0))
-    return F.size(F.filter(F.slice(codons, F.lit(1), F.greatest(F.size(codons) - 1, F.lit(0))), lambda c: c.isin(*STOPS[code])))
+    stop = "|".join(STOPS[code])
+    # One match a stop: \G goes on where the last match ended, so that matches stay in frame; nothing is tried twice.
+    return F.regexp_count(F.substr(seq, F.lit(frame + 1)), F.lit(rf"\G(?:(?!{stop})...)*+(?:{stop})(?=...)"))
 
 
 def great_circle_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

@@ -9,7 +9,10 @@ from ..functions.text import clean_sequence, stop_count
 
 
 def _n(seq: Column, bases: str) -> Column:
-    return F.length(seq) - F.length(F.translate(seq, bases, ""))
+    left = seq
+    for b in bases:
+        left = F.replace(left, F.lit(b), F.lit(""))
+    return F.length(seq) - F.length(left)
 
 
 def composition(df: DataFrame, seq: str) -> DataFrame:

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.ingest import numbered
 from .materialize import materialize
 
+ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_NUMBER = f"CAST(ROW_NUMBER() OVER (ORDER BY {', '.join(ORDER)}) AS BIGINT) AS rid"
+
 
 def _bases(key: str, alphabet: str) -> str:
     return f"translate(md5({key}), '0123456789abcdef', {alphabet})"
 
 
-def record_sql(where: str = "true") -> str:
-    """One text for Spark and DuckDB. Row ids follow a total order of lineitem's columns."""
+def record_sql(where: str = "true", rid: str = _NUMBER) -> str:
+    """One text for Spark and DuckDB. Row ids follow a total order of lineitem's columns; `rid` names a column that has
+    them already."""
     part = lambda pre, key, n, al: ", ".join(_bases(f"concat('{pre}', CAST({key} AS VARCHAR(20)), '{c}')", al) for c in n)
     al = "CASE WHEN marker_code = '16S' THEN 'ACGTACGTACGTACGT' ELSE 'ACGACGACGACGACGA' END"
     common = ", ".join(_bases(f"'x{i}'", al) for i in range(10))
     return f"""
     WITH base AS (
-      SELECT CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS rid,
+      SELECT {rid},
              l_partkey AS pk, l_suppkey AS sk, l_returnflag AS rf FROM lineitem),
     j AS (
       SELECT rid, pk, sk, rf, pk % 12 AS spk, CASE WHEN p_size % 5 = 0 THEN '16S' ELSE 'COI-5P' END AS marker_code, n_nationkey, n_name, r_name
@@ -44,9 +49,14 @@ TABLES = ("lineitem", "part", "supplier", "nation", "region")
 
 
 def records(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    text = record_sql(where)
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"_rv_{t}")
+    text = record_sql(where, "rid")
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    # Thin rows are numbered and spread over all cores before sequences make each some ten times as wide.
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    lines = numbered(tables["lineitem"].select(*ORDER), list(ORDER), "rid").select("rid", "l_partkey", "l_suppkey", "l_returnflag")
+    tables["lineitem"] = lines.repartition(spread, "rid")
+    for t, df in tables.items():
+        df.createOrReplaceTempView(f"_rv_{t}")
     for t in TABLES:
         text = text.replace(f"FROM {t}", f"FROM _rv_{t}").replace(f"JOIN {t} ", f"JOIN _rv_{t} ")
     # Written once: the sequences' expressions, inlined where they are used again, outgrow what Spark compiles.
