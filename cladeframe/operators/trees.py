@@ -35,21 +35,99 @@ def join_neighbours(d: np.ndarray) -> list[tuple[int, int, float]]:
     return edges
 
 
+def midpoint_root(edges: list[tuple[int, int, float]], tips: int) -> list[tuple[int, int, float]]:
+    """The same tree with a root half-way along its longest path between tips; its edges come first. `edges` are as
+    join_neighbours gives them: below a node everything is joined before the node is.
+
+    Each node keeps its farthest tip below; the longest path bends where two such arms add up to most. Above the cut edge,
+    edges turn round."""
+    above = {c: (p, w) for p, c, w in edges}
+    far = {t: (0.0, t) for t in range(tips)}
+    longest, end = -1.0, 0
+    for p, c, w in edges:
+        arm, tip = far[c][0] + w, far[c][1]
+        other, second = far.get(p, (0.0, None))
+        if (second is not None) and arm + other > longest:
+            longest, end = arm + other, tip if arm >= other else second
+        if second is None or arm > other:
+            far[p] = (arm, tip)
+    left, node = longest / 2, end
+    while above[node][1] < left:
+        left, node = left - above[node][1], above[node][0]
+    parent, w = above[node]
+    root = max(max(p, c) for p, c, _ in edges) + 1
+    out, turned, v = [(root, node, left), (root, parent, w - left)], {node}, parent
+    while v in above:
+        out.append((v, *above[v]))
+        turned.add(v)
+        v = above[v][0]
+    return out + [e for e in edges if e[1] not in turned]
+
+
+def newick(rooted: list[tuple[int, int, float]], names: list) -> str:
+    """The text of a rooted tree; children in order of their least tip."""
+    below: dict[int, list[tuple[int, float]]] = {}
+    for p, c, w in rooted:
+        below.setdefault(p, []).append((c, w))
+    order = [rooted[0][0]]
+    for v in order:
+        order += [c for c, _ in below.get(v, [])]
+    text: dict[int, tuple[int, str]] = {}
+    for v in reversed(order):
+        if v in below:
+            parts = sorted((*text.pop(c), w) for c, w in below[v])
+            text[v] = (parts[0][0], f"({','.join(f'{t}:{w:.6f}' for _, t, w in parts)})")
+        else:
+            text[v] = (v, f"'{names[v]}'")
+    return text[order[0]][1] + ";"
+
+
+def rooted_trees(pairs: DataFrame, group: str) -> DataFrame:
+    """(group, tips, height, newick): the neighbour-joining tree of each group's complete pairs, rooted at the midpoint;
+    height is half its longest path between tips."""
+
+    def tree(held: pd.DataFrame) -> pd.DataFrame:
+        ids, edges = _joined(held)
+        rows = []
+        if edges:
+            rooted = midpoint_root(edges, len(ids))
+            up = {c: (p, w) for p, c, w in rooted}
+            high = []
+            for v in range(len(ids)):
+                total = 0.0
+                while v in up:
+                    v, w = up[v]
+                    total += w
+                high.append(total)
+            rows = [(held.g.iloc[0], len(ids), max(high), newick(rooted, ids))]
+        return pd.DataFrame(rows, columns=["g", "tips", "height", "newick"])
+
+    return _keyed(pairs, group).groupBy("g").applyInPandas(tree, "g string, tips long, height double, newick string").withColumnRenamed("g", group)
+
+
+def _keyed(pairs: DataFrame, group: str) -> DataFrame:
+    return pairs.select(F.col(group).cast("string").alias("g"), F.col("i").cast("long"), F.col("j").cast("long"), F.col("d").cast("double"))
+
+
+def _joined(held: pd.DataFrame) -> tuple[list[int], list[tuple[int, int, float]]]:
+    """Ids of a group and the edges of its tree; no edges where a distance is missing."""
+    ids = sorted(set(held.i) | set(held.j))
+    at = {r: k for k, r in enumerate(ids)}
+    d = np.full((len(ids), len(ids)), np.nan)
+    np.fill_diagonal(d, 0.0)
+    i, j = held.i.map(at).to_numpy(), held.j.map(at).to_numpy()
+    d[i, j] = d[j, i] = held.d.to_numpy()
+    return ids, [] if np.isnan(d).any() else join_neighbours(d)
+
+
 def neighbour_trees(pairs: DataFrame, group: str) -> DataFrame:
     """(group, parent, child, rid, length): rid names a tip's record, null for inner nodes. Pairs (i, j, d) of a group must
     be complete: groups with a missing distance give no rows."""
 
     def tree(held: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(held.i) | set(held.j))
-        at = {r: k for k, r in enumerate(ids)}
-        d = np.full((len(ids), len(ids)), np.nan)
-        np.fill_diagonal(d, 0.0)
-        i, j = held.i.map(at).to_numpy(), held.j.map(at).to_numpy()
-        d[i, j] = d[j, i] = held.d.to_numpy()
-        edges = [] if np.isnan(d).any() else join_neighbours(d)
+        ids, edges = _joined(held)
         tip = lambda x: ids[x] if x < len(ids) else None
         rows = [(held.g.iloc[0], p, c, tip(c), w) for p, c, w in edges]
         return pd.DataFrame(rows, columns=["g", "parent", "child", "rid", "length"]).astype({"rid": "Int64"})
 
-    out = pairs.select(F.col(group).cast("string").alias("g"), F.col("i").cast("long"), F.col("j").cast("long"), F.col("d").cast("double"))
-    return out.groupBy("g").applyInPandas(tree, "g string, parent long, child long, rid long, length double").withColumnRenamed("g", group)
+    return _keyed(pairs, group).groupBy("g").applyInPandas(tree, "g string, parent long, child long, rid long, length double").withColumnRenamed("g", group)

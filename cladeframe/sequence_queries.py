@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import names as N
 from .functions import text as T
-from .operators import distances, diversity, graph, identify, ingest, reports, sequences, trees
+from .operators import alignment, distances, diversity, graph, identify, ingest, reports, sequences, trees
 from .plans.materialize import materialize
 from .plans.records import record_sql, records
 from .queries import _DIFF, _MATCH, _REC, TERMS, _matches, fold, query, read
@@ -140,6 +140,16 @@ def neighbour_trees(spark, sf):
     return _rounded(trees.neighbour_trees(_distances(spark, sf)[1].where("d is not null"), "marker_code"), "length")
 
 
+@query()
+def rooted_trees(spark, sf):
+    return _rounded(trees.rooted_trees(_distances(spark, sf)[1].where("d is not null"), "marker_code"), "height")
+
+
+@query()
+def alignment_groups(spark, sf):
+    return _rounded(alignment.align_groups(_sample(spark, sf), "rid", "nuc"), "identity")
+
+
 @query(f"""{_REC}, e0 AS (SELECT coalesce(species, '') AS species, regexp_replace(nuc, '^N+|N+$', '', 'g') AS s FROM rec), e AS (SELECT species, s, count(*) AS c FROM e0 WHERE length(s) >= 50 AND NOT regexp_matches(s, '[^ACGT]') GROUP BY ALL),
 h AS (SELECT a.species, a.s, b.s AS big FROM e a JOIN e b ON a.species = b.species AND length(b.s) > length(a.s) AND contains(b.s, a.s)), i AS (SELECT DISTINCT species, s FROM h),
 t AS (SELECT species, s, big FROM h WHERE (species, big) NOT IN (SELECT (species, s) FROM i) QUALIFY row_number() OVER (PARTITION BY species, s ORDER BY length(big) DESC, big) = 1),
@@ -149,16 +159,32 @@ def haplotypes_by_species(spark, sf):
     return diversity.haplotypes(records(spark, sf).select("species", T.clean_sequence(F.col("nuc")).alias("clean")))
 
 
-@query(f"""{_REC}, a AS (SELECT species, rid, nuc FROM rec WHERE species IS NOT NULL AND marker_code = 'COI-5P' AND length(nuc) = 640), b AS (SELECT species, k, substr(nuc, k::INT, 1) AS b FROM (SELECT *, unnest(range(1, 641)) AS k FROM a)),
+_SITES = f"""{_REC}, a AS (SELECT species, rid, nuc FROM rec WHERE species IS NOT NULL AND marker_code = 'COI-5P' AND length(nuc) = 640), b AS (SELECT species, k, substr(nuc, k::INT, 1) AS b FROM (SELECT *, unnest(range(1, 641)) AS k FROM a)),
 t AS (SELECT species, count(*) AS n FROM a GROUP BY species), x AS (SELECT species, k, b, count(*) AS c FROM b WHERE b IN ('A', 'C', 'G', 'T') GROUP BY ALL), y AS (SELECT species, k, sum(c) AS m, count(*) AS st, sum(c * c) AS sq FROM x GROUP BY ALL),
 s AS (SELECT species, n, count(*) AS sites, count(*) FILTER (WHERE st > 1) AS segregating, sum(n * n - sq)::DOUBLE / (n * (n - 1)) AS k FROM y JOIN t USING (species) WHERE m = n AND n > 1 GROUP BY species, n),
 h AS (SELECT *, list_sum(list_transform(range(1, n), lambda i: 1.0::DOUBLE / i)) AS a1, list_sum(list_transform(range(1, n), lambda i: 1.0::DOUBLE / (i * i))) AS a2, n::DOUBLE AS f FROM s),
-e AS (SELECT *, ((f + 1) / (3 * (f - 1)) - 1 / a1) / a1 AS e1, (2 * (f * f + f + 3) / (9 * f * (f - 1)) - (f + 2) / (a1 * f) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h)
-SELECT species, n, sites, segregating, round(k, 6) AS k, round(k / sites, 6) AS pi, CASE WHEN n >= 4 AND segregating > 0 THEN round((k - segregating / a1) / sqrt(e1 * segregating + e2 * segregating * (segregating - 1)), 6) END AS tajima_d FROM e""")
+e AS (SELECT *, ((f + 1) / (3 * (f - 1)) - 1 / a1) / a1 AS e1, (2 * (f * f + f + 3) / (9 * f * (f - 1)) - (f + 2) / (a1 * f) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM h) """
+
+
+@query(_SITES + """SELECT species, n, sites, segregating, round(k, 6) AS k, round(k / sites, 6) AS pi, CASE WHEN n >= 4 AND segregating > 0 THEN round((k - segregating / a1) / sqrt(e1 * segregating + e2 * segregating * (segregating - 1)), 6) END AS tajima_d FROM e""")
 def nucleotide_diversity_tajima(spark, sf):
+    return _site_counts(spark, sf)
+
+
+def _site_counts(spark, sf):
     return diversity.segregating_sites(records(spark, sf).where("species is not null and marker_code = 'COI-5P' and length(nuc) = 640"), "species", "nuc").where("n > 1")
 
 
+@query(_SITES + """, t1 AS (SELECT species, n, f, CASE WHEN n >= 4 AND segregating > 0 THEN round((k - segregating / a1) / sqrt(e1 * segregating + e2 * segregating * (segregating - 1)), 6) END AS d, sqrt(e2) AS r,
+(2 / f - 1 / a1) / sqrt(e2) AS lo, (CASE WHEN n % 2 = 0 THEN f / (2 * (f - 1)) ELSE (f + 1) / (2 * f) END - 1 / a1) / sqrt(e2) AS hi FROM e),
+t2 AS (SELECT *, (1 + lo * hi) * lo / (hi - lo) AS a0, -(1 + lo * hi) * hi / (hi - lo) AS b0, (d - lo) / (hi - lo) AS x0 FROM t1),
+t3 AS (SELECT *, x0 * (a0 + b0 + 2) < a0 + 1 AS low FROM t2), t4 AS (SELECT species, n, d, low, CASE WHEN low THEN a0 ELSE b0 END AS a, CASE WHEN low THEN b0 ELSE a0 END AS b, CASE WHEN low THEN x0 ELSE 1 - x0 END AS x FROM t3),
+t5 AS (SELECT species, n, d, low, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * ln(x) + b * ln(1 - x)) / a * list_sum(list_transform(range(0, 400), lambda i: exp(lgamma(a + b + i) - lgamma(a + b) + lgamma(a + 1) - lgamma(a + 1 + i) + i * ln(x)))) AS p FROM t4 WHERE d IS NOT NULL)
+SELECT species, n, d AS tajima_d, round(least(1.0, 2 * least(p, 1 - p)), 6)::DOUBLE AS tajima_p FROM t5""")
+def tajima_p_values(spark, sf):
+    return diversity.tajima_p(_site_counts(spark, sf)).where("tajima_d is not null").select("species", "n", "tajima_d", "tajima_p")
+
+
 _ZONED = _D + """, mb AS (SELECT rid, region AS zone, coord FROM r WHERE marker_code = 'COI-5P'), sz AS (SELECT zone, count(*)::DOUBLE AS s FROM mb GROUP BY zone),
 pr AS (SELECT i, j, d, a.zone AS z1, b.zone AS z2, a.coord AS c1, b.coord AS c2 FROM d JOIN mb a ON a.rid = i JOIN mb b ON b.rid = j) """
 
