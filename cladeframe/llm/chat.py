@@ -113,8 +113,10 @@ def emit(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
 
 def conversations_of(turns: DataFrame, stream: DataFrame) -> DataFrame:
     """Per conversation its nodes of the stream, in order: conv_id, nodes."""
-    found = turns.select("conv_id", "depth", "node").join(stream.select("node", "segment", "loss_at", "loss_len", "n_ids", "starts"), "node")
-    return found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "starts", "n_ids", "loss_at", "loss_len", "segment"))).alias("nodes"))
+    columns = ["starts", "n_ids", "loss_at", "loss_len", "segment", "position", "n_intervals", "mask"]
+    columns = [c for c in columns if c in stream.columns]
+    found = turns.select("conv_id", "depth", "node").join(stream.select("node", *columns), "node")
+    return found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", *columns))).alias("nodes"))
 
 
 def attention(read: DataFrame) -> DataFrame:
@@ -138,9 +140,24 @@ def attention(read: DataFrame) -> DataFrame:
     return rows.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("starts", "n_ids", "position", "ancestors")])
 
 
+def masked(turns: DataFrame, stream: DataFrame) -> DataFrame:
+    """The stream with each node's position, number of ancestor intervals, and mask: the SHA-256 of "start:end" of these
+    intervals, joined by commas."""
+    seen = attention(conversations_of(turns, stream.select("node", "starts", "n_ids")))
+    said = F.transform("ancestors", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    mask = seen.select("node", "position", F.size("ancestors").cast("long").alias("n_intervals"), F.sha2(F.array_join(said, ","), 256).alias("mask"))
+    return stream.join(mask, "node")
+
+
 def read_back(read: DataFrame) -> DataFrame:
-    """What the formatted text of each conversation says: the contract's digests."""
+    """What the formatted text of each conversation says: the contract's digests; and its masks: nodes, position ids
+    (the next one after its last token), intervals attended to, and the digest of "position:length:mask" lines."""
     kinds = {"conv_id": pa.int64(), "n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64(), "n_ids": pa.int64()}
+    kinds |= {"n_nodes": pa.int64(), "next_position": pa.int64(), "n_intervals": pa.int64(), "attention_sha256": pa.string()}
+
+    def masks_of(nodes: list[dict]) -> tuple[int, int, int, str]:
+        lines = "".join(f"{x['position']}:{x['n_ids']}:{x['mask']}\n" for x in nodes)
+        return len(nodes), nodes[-1]["position"] + nodes[-1]["n_ids"], sum(x["n_intervals"] for x in nodes), hashlib.sha256(lines.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,11 +175,11 @@ def read_back(read: DataFrame) -> DataFrame:
                 for role, said in turns:
                     digest.update(f"{role}\n{said}\n".encode())
                 loss = "".join(unescape(text[a:e]) for a, e in mask)
-                rows.append((conv_id, len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), sum(x["n_ids"] for x in nodes)))
+                rows.append((conv_id, len(turns), digest.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text), sum(x["n_ids"] for x in nodes), *masks_of(nodes)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
 
-    return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long")
+    return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_ids long, n_nodes long, next_position long, n_intervals long, attention_sha256 string")
 
 
 def format_conversations(conversations: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> tuple[DataFrame, DataFrame]:
@@ -173,6 +190,7 @@ def format_conversations(conversations: DataFrame, tokenizer: str = "byte_bpe_50
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """The contract's columns per conversation, and how many of its nodes start in the tree with which attention."""
-    _, read = format_conversations(conversations)
-    return read_back(read)
+    """The contract's columns per conversation, and its nodes' position ids and attention: see read_back."""
+    turns = materialize(turn_rows(conversations), "turns")
+    stream = materialize(emit(turns), "stream")
+    return read_back(conversations_of(turns, masked(turns, stream)))
