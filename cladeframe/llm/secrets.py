@@ -1,46 +1,68 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on long unbroken runs of characters.
 
-A candidate is a maximal run of 20 or more of the characters that keys are written in. Its encoding is inferred from its
-alphabet (hex, base 32, base 64). Three tests ask whether it could be uniform random text of that encoding: chi-squared
-uniformity of coarse symbol classes, the number of runs about the middle of the alphabet, and the serial correlation of
-neighbouring symbols. Their p-values are joined by Fisher's method. A document's prose yields many candidates that are
-plainly not random; the claim "not random" is controlled for false discoveries (Benjamini and Hochberg) within each
-class of lengths, so that short candidates, on which the tests have little power, do not borrow from long ones. What is
-long enough to have been found out and was not is taken for a secret.
+A candidate is a maximal run of 20 or more of the characters that keys are written in. Its encoding is inferred as the
+smallest alphabet that holds its characters. Four tests ask how far it is from uniform random text of that alphabet:
+chi-squared uniformity over the symbols and over their kinds (case, digits; vowels where there is one case), the number
+of runs of a kind, and the serial correlation of neighbouring symbols. Fisher's statistic joins them.
+
+What is reported is what is controlled: the null hypothesis is that a candidate is ordinary writing. Its distribution
+is measured, per shape (lower, upper, mixed case) and class of lengths, on runs that are ordinary by construction: every
+document's own words, and the names of Python's library, written together as identifiers, slugs and paths are. A
+candidate's p-value is the share of such runs that look at least as random. Benjamini and Hochberg's rule is applied
+within each class of lengths, so short candidates, where the tests have little power, neither borrow from long ones nor
+pass for want of evidence.
 
 Cases: a null or empty text has no spans; repeated rows are scanned as rows of their own; a span of the base patterns
-always stays; an added span that overlaps a base span is left out; equal p-values share one grid step and one decision;
-an empty table gives an empty result; other columns are ignored.
+always stays; an added span that overlaps a base span is left out; candidates of one step of the statistic share one
+decision; a run of mixed alphabets (+ or / with - or _, inner =) has no encoding and is left alone; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import builtins
 import hashlib
 import math
+import random
 import re
+import sys
+import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.materialize import materialize
+
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 HINT = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+WORD = re.compile(r"[A-Za-z]{2,}")
 
 #: Level of the false-discovery control.
 LEVEL = 0.05
-#: p-values are rounded up to powers of 10 ** (1 / GRID), at most GRID * DECADES steps: the control sees counts, not rows.
-GRID, DECADES = 8, 40
+#: The joint statistic is cut into steps of 1 / GRID, STEPS of them: the control sees counts, not rows.
+GRID, STEPS = 4, 400
 #: Length classes: 20-27, 28-39, 40-63, 64-127, 128 and more.
 LENGTHS = (28, 40, 64, 128)
+SHAPES = ("lower", "upper", "mixed")
+#: Ordinary runs made of library names, per length class.
+NAMES = 1500
 
-_HEXES = "0123456789abcdef"
-_B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-_B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+_LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_B64 = _UPPER + _LOWER + _DIGITS + "+/"
+#: Smallest first; the last two are base 64 in both of its alphabets.
+ALPHABETS = (
+    _DIGITS + "abcdef", _DIGITS + "ABCDEF", _UPPER, _LOWER, _UPPER + "234567", _LOWER + "234567", _DIGITS + _UPPER, _DIGITS + _LOWER,
+    _UPPER + _LOWER, _UPPER + _LOWER + _DIGITS, _B64, _UPPER + _LOWER + _DIGITS + "-_",
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -59,6 +81,8 @@ def _chi2_sf(x: float, dof: int) -> float:
     if x <= 0:
         return 1.0
     h = x / 2
+    if h > 700:
+        return 0.0
     if dof % 2 == 0:
         term, total = math.exp(-h), 0.0
         for k in range(dof // 2):
@@ -66,7 +90,7 @@ def _chi2_sf(x: float, dof: int) -> float:
             term *= h / (k + 1)
         return min(1.0, total)
     total = math.erfc(math.sqrt(h))
-    term = math.sqrt(h) * math.exp(-h) / math.gamma(1.5)
+    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5)
     for k in range(dof // 2):
         total += term
         term *= h / (k + 1.5)
@@ -74,114 +98,165 @@ def _chi2_sf(x: float, dof: int) -> float:
 
 
 def encoding_of(run: str) -> str | None:
-    """The alphabet that the run's characters fit, smallest first; None if it lacks the mix that encoders give."""
+    """The smallest alphabet that holds the run's characters, padding aside."""
     seen = set(run.rstrip("="))
-    for alphabet in (_HEXES, _HEXES.upper(), _B32):
-        if seen <= set(alphabet):
-            return alphabet if any(c.isdigit() for c in seen) and any(c.isalpha() for c in seen) else None
-    if any(c.isdigit() for c in seen) and any(c.isupper() for c in seen) and any(c.islower() for c in seen):
-        return _B64
-    return None
+    return next((a for a in ALPHABETS if seen <= set(a)), None)
+
+
+def shape_of(alphabet: str) -> int:
+    lower, upper = "a" in alphabet, "A" in alphabet
+    return 2 if lower and upper else 1 if upper else 0
+
+
+@cache
+def _tables(alphabet: str) -> tuple[dict[str, int], dict[str, int], list[float]]:
+    """Code and kind of each symbol, and the kinds' shares of the alphabet."""
+    mixed = shape_of(alphabet) == 2
+    kind = {c: 2 if not c.isalpha() else (c.islower() if mixed else c in "aeiouAEIOU") + 0 for c in alphabet}
+    tally = Counter(kind.values())
+    return {c: k for k, c in enumerate(alphabet)}, kind, [tally[k] / len(alphabet) for k in range(3)]
+
+
+def statistic(run: str, alphabet: str) -> float:
+    """Fisher's statistic of the four tests: large if the run is far from uniform random text of the alphabet."""
+    body = run.rstrip("=")
+    place, kind, share = _tables(alphabet)
+    n, size = len(body), len(alphabet)
+    uniform = _chi2_sf(size / n * sum(c * c for c in Counter(body).values()) - n, size - 1)
+    kinds = [kind[c] for c in body]
+    tally = Counter(kinds)
+    used = [k for k in range(3) if share[k]]
+    mix = _chi2_sf(sum((tally[k] - n * share[k]) ** 2 / (n * share[k]) for k in used), len(used) - 1) if len(used) > 1 else 1.0
+    s2, s3 = sum(s * s for s in share), sum(s**3 for s in share)
+    mean, var = (n - 1) * s2, (n - 1) * (s2 - s2 * s2) + 2 * (n - 2) * (s3 - s2 * s2)
+    same = sum(a == b for a, b in zip(kinds, kinds[1:]))
+    runs = math.erfc(abs(same - mean) / math.sqrt(2 * max(var, 1e-9)))
+    codes = [place[c] for c in body]
+    mid = sum(codes) / n
+    off = [c - mid for c in codes]
+    spread = sum(c * c for c in off)
+    serial = math.erfc(abs(sum(a * b for a, b in zip(off, off[1:])) / spread + 1 / n) * math.sqrt(n / 2)) if spread else 0.0
+    return -2 * sum(math.log(max(p, 1e-300)) for p in (uniform, mix, runs, serial))
 
 
 def p_value(run: str, alphabet: str) -> float:
-    """Chance that uniform random text of the alphabet looks at least as regular, by three tests."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    place = {c: k for k, c in enumerate(alphabet)}
-    codes = [place[c] for c in body if c in place]
-    n, size = len(codes), len(alphabet)
-    classes = max(2, min(8, n // 5, size))
-    counts = [0] * classes
-    for c in codes:
-        counts[c * classes // size] += 1
-    expected = [((size * (k + 1) + classes - 1) // classes - (size * k + classes - 1) // classes) * n / size for k in range(classes)]
-    uniform = _chi2_sf(sum((o - e) ** 2 / e for o, e in zip(counts, expected)), classes - 1)
-    above = [c >= size // 2 for c in codes]
-    up = sum(above)
-    down = n - up
-    if up and down:
-        mean = 2 * up * down / n + 1
-        var = max(1e-9, (mean - 1) * (mean - 2) / (n - 1))
-        runs = math.erfc(abs(1 + sum(a != b for a, b in zip(above, above[1:])) - mean) / math.sqrt(2 * var))
-    else:
-        runs = 2.0 ** (1 - n)
-    mid = sum(codes) / n
-    spread = sum((c - mid) ** 2 for c in codes)
-    serial = math.erfc(abs(sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n / 2)) if spread else 0.0
-    joint = -2 * sum(math.log(max(p, 1e-300)) for p in (uniform, runs, serial))
-    return _chi2_sf(joint, 6)
+    """Chance that uniform random text of the alphabet looks at least as regular."""
+    return _chi2_sf(statistic(run, alphabet), 8)
 
 
-def step_of(p: float) -> int:
-    """Grid step of a p-value: step k holds p in (10^-((k+1)/GRID), 10^-(k/GRID)]."""
-    return GRID * DECADES if p <= 10.0**-DECADES else min(GRID * DECADES, int(-math.log10(p) * GRID))
+def step_of(x: float) -> int:
+    return min(STEPS - 1, int(x * GRID))
 
 
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS)
 
 
-def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, step) of candidates with an inferred encoding that overlap no base span."""
+def ordinary_runs(words: list[str], seed: int) -> Iterator[tuple[int, int, int]]:
+    """(shape, length class, step) of one ordinary run per class, in a shape by the seed: words that follow each other,
+    written together, some with separators, some with a number behind."""
+    if not words:
+        return
+    rnd, shape = random.Random(seed), seed % len(SHAPES)
+    bounds = [20, *LENGTHS, 2 * LENGTHS[-1]]
+    for low, high in zip(bounds, bounds[1:]):
+        n = rnd.randrange(low, high)
+        tail = "".join(rnd.choices(_DIGITS, k=rnd.choice((0, 0, 1, 2, 4))))
+        between = rnd.choice(("", "", "", "-", "_", "/")) if shape == 2 else ""
+        at, parts, held = rnd.randrange(len(words)), [], 0
+        while held < n:
+            w = words[at % len(words)]
+            parts.append(w.lower() if shape == 0 else w.upper() if shape == 1 else w.capitalize())
+            held += len(w) + len(between)
+            at += 1
+        run = between.join(parts)[: n - len(tail)].rstrip(between or " ") + tail
+        if alphabet := encoding_of(run):
+            yield shape, length_class(n), step_of(statistic(run, alphabet))
+
+
+def library_names() -> list[str]:
+    """Words of the names that Python's own library uses, in order of their hashes."""
+    names = {w for x in (*dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(DataFrame)) for w in WORD.findall(x)}
+    return sorted(names, key=lambda w: zlib.crc32(w.encode()))
+
+
+def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, shape, length class, step) of candidates with an inferred encoding that overlap no base span."""
+    starts, ends = [], []  # the base spans as disjoint intervals
+    for s, _, e in base:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     out = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and (alphabet := encoding_of(m[0])):
-            out.append((a, b, length_class(b - a), step_of(p_value(m[0], alphabet))))
+        k = bisect_left(starts, b) - 1
+        if (k < 0 or ends[k] <= a) and len(m[0].rstrip("=")) >= 20 and (alphabet := encoding_of(m[0])):
+            out.append((a, b, shape_of(alphabet), length_class(b - a), step_of(statistic(m[0], alphabet))))
     return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, base (spans) and extra (candidates with their class and p-value step)."""
-    base_t = "array<struct<start:int,kind:int,end:int>>"
-    extra_t = "array<struct<start:int,end:int,length_class:int,step:int>>"
+    """Per document: doc_id, base (spans), extra (candidates with shape, class and step), plain (the steps of its
+    ordinary runs, as shape, class and step)."""
+    i32 = pa.int32()
+    spans = {"base": ("start", "kind", "end"), "extra": ("start", "end", "shape", "length_class", "step"), "plain": ("shape", "length_class", "step")}
+    arrow = {k: pa.list_(pa.struct([(c, i32) for c in v])) for k, v in spans.items()}
+    schema = "doc_id long, " + ", ".join(f"{k} array<struct<{','.join(f'{c}:int' for c in v)}>>" for k, v in spans.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            base, extra = [], []
+            found: dict[str, list] = {k: [] for k in spans}
             for t in b.column(1):
                 text = t.as_py() or ""
-                spans = base_spans(text)
-                base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-                extra.append([{"start": s, "end": e, "length_class": c, "step": p} for s, e, c, p in added_spans(text, spans)])
-            i32 = pa.int32()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array(base, pa.list_(pa.struct([("start", i32), ("kind", i32), ("end", i32)]))),
-                    pa.array(extra, pa.list_(pa.struct([("start", i32), ("end", i32), ("length_class", i32), ("step", i32)]))),
-                ],
-                names=["doc_id", "base", "extra"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"doc_id long, base {base_t}, extra {extra_t}")
-
-
-def cutoffs(counts: list[tuple[int, int, int]], level: float = LEVEL) -> dict[int, int]:
-    """Per length class, the least step that is a discovery, from (length class, step, count)."""
-    out = {}
-    for c in {x[0] for x in counts}:
-        own = sorted(((s, n) for k, s, n in counts if k == c), reverse=True)
-        m, seen, cut = sum(n for _, n in own), 0, GRID * DECADES + 1
-        for s, n in own:
+                base = base_spans(text)
+                said = {"base": base, "extra": added_spans(text, base), "plain": ordinary_runs(WORD.findall(text), zlib.crc32(text.encode("utf-8", "surrogatepass")))}
+                for k, names in spans.items():
+                    found[k].append([dict(zip(names, x)) for x in said[k]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(found[k], arrow[k]) for k in spans]], names=["doc_id", *spans])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+
+
+def cutoffs(candidates: dict[tuple[int, int, int], int], ordinary: dict[tuple[int, int, int], int], level: float = LEVEL) -> dict[tuple[int, int], int]:
+    """Per shape and length class, how many of the lowest steps are discoveries, from counts by (shape, class, step)."""
+    out = {(s, c): 0 for s in range(len(SHAPES)) for c in range(len(LENGTHS) + 1)}
+    p = {}
+    for s, c in out:
+        seen, whole = 0, sum(ordinary.get((s, c, k), 0) for k in range(STEPS))
+        for k in range(STEPS):
+            seen += ordinary.get((s, c, k), 0)
+            p[s, c, k] = (1 + seen) / (1 + whole)
+    for c in range(len(LENGTHS) + 1):
+        own = sorted((p[x], n) for x, n in candidates.items() if x[1] == c)
+        m, seen, limit = sum(n for _, n in own), 0, 0.0
+        for value, n in own:
             seen += n
-            if 10.0 ** -(s / GRID) <= level * seen / m:
-                cut = s
-        out[c] = cut
+            if value <= level * seen / m:
+                limit = value
+        for s in range(len(SHAPES)):
+            out[s, c] = sum(p[s, c, k] <= limit for k in range(STEPS))
     return out
 
 
 def secret_spans(docs: DataFrame, level: float = LEVEL) -> DataFrame:
     """doc_id, base and added spans as arrays of (start, kind, end); added ones have kind 3, "random"."""
-    from ..plans.materialize import materialize
-
     found = materialize(scan(docs), "spans")
-    tallied = found.select(F.explode("extra").alias("x")).groupBy("x.length_class", "x.step").count()
-    # At most (len(LENGTHS) + 1) * (GRID * DECADES + 1) rows come to the driver, whatever the input.
-    cut = cutoffs([tuple(r) for r in tallied.collect()], level)
-    limits = F.array(*[F.lit(cut.get(k, 0)) for k in range(len(LENGTHS) + 1)])
-    random = F.filter("extra", lambda x: x["step"] < F.element_at(limits, x["length_class"] + 1))
-    as_spans = F.transform(random, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end")))
+
+    def tally(column: str) -> dict[tuple[int, int, int], int]:
+        # At most len(SHAPES) * (len(LENGTHS) + 1) * STEPS rows come to the driver, whatever the input.
+        x = found.select(F.explode(column).alias("x")).groupBy("x.shape", "x.length_class", "x.step").count()
+        return {tuple(r)[:3]: r["count"] for r in x.collect()}
+
+    names = library_names()
+    ordinary = Counter(x for k in range(NAMES) for x in ordinary_runs(names, k))
+    ordinary.update(tally("plain"))
+    cut = cutoffs(tally("extra"), ordinary, level)
+    limits = F.array(*[F.lit(cut[s, c]) for s in range(len(SHAPES)) for c in range(len(LENGTHS) + 1)])
+    random_ = F.filter("extra", lambda x: x["step"] < F.element_at(limits, x["shape"] * (len(LENGTHS) + 1) + x["length_class"] + 1))
+    as_spans = F.transform(random_, lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), x["end"].alias("end")))
     return found.select("doc_id", "base", F.array_sort(F.concat("base", as_spans)).alias("spans"))
 
 
@@ -192,8 +267,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
     def text(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    number = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return secret_spans(docs).select("doc_id", *number, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    def number(kind: int):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    return secret_spans(docs).select("doc_id", *map(number, range(len(KINDS))), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
 def base_digest(spans: list[tuple[int, int, int]]) -> str:

@@ -459,6 +459,34 @@ def test_secrets(spark, docs, none):
     assert secrets.secret_report(none).count() == 0
 
 
+def test_planted_secrets_by_length(spark):
+    """Keys that no base pattern finds, hidden in prose among identifiers made of its words."""
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice(a) for a in ["bcdfgklmnprst", "aeiou"] * rnd.randrange(1, 4)) + rnd.choice(["", "n", "r", "st"]) for _ in range(400)]
+    alphabets = [secrets._B64, secrets._B64[:62], secrets._DIGITS + secrets._LOWER, secrets._UPPER + "234567", secrets._B64[:52]]
+    texts, truth = [], []
+    for k in range(1200):
+        said = [rnd.choice(vocab) for _ in range(60)]
+        n = (32, 40, 64, 128)[k % 4]
+        if k % 3 == 0:
+            thing = "".join(rnd.choice(alphabets[k % 5]) for _ in range(n))
+        else:
+            own = [rnd.choice(vocab) for _ in range(40)]
+            thing = ["".join(w.capitalize() for w in own), "_".join(own), "".join(own), "/".join(own)][k % 4 if k % 4 < 4 else 0][:n] + rnd.choice(["", "7", "2024"])
+        texts.append(" ".join([*said, thing, *said[:9]]))
+        truth.append((k % 3 == 0, len(" ".join(said)) + 1, n, len(thing)))
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_report(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    found, false, reported = Counter(), 0, 0
+    for k, (secret, at, n, size) in enumerate(truth):
+        hit = f"random:{at}:{at + size}" in got[k].split(",") or "hex" in got[k]
+        found[n, secret, hit] += 1
+        reported += "random" in got[k]
+        false += "random" in got[k] and not secret
+    for n in (32, 40, 64, 128):
+        assert found[n, True, True] >= 0.9 * (found[n, True, True] + found[n, True, False]), (n, found)
+    assert false <= 0.1 * reported
+
+
 def test_secret_tests_are_calibrated():
     rnd = random.Random(8)
     p = [secrets.p_value("".join(rnd.choice(secrets._B64) for _ in range(64)), secrets._B64) for _ in range(400)]
