@@ -6,30 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .common import spread_join
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node of its component.
 
     Each round hangs a node's greater neighbours on the least one, then its smaller neighbours likewise, until each
-    component is a star; that takes O(log^2 n) rounds. Minima are combined before the shuffle and the joins back may be
-    split where a hub is large, so a hub is never gathered.
+    component is a star; that takes O(log^2 n) rounds. Minima are combined before the shuffle and the joins back deal the
+    neighbours of a hub over several tasks, so a hub is never gathered.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    before, total = None, 2 * now.count()
     for _ in range(most_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_")).select("u", F.least("u", "m").alias("m"), "n_")
+        large = spread_join(both.where("v > u"), least, ["u"], F.col("v"), total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_"))
+        small = spread_join(large, least, ["u"], F.col("v"), total=total).select("u", "v", "m")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
         state = now.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state[0]
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .common import spread_join
 from .components import connected
 
 PAIRS_UP_TO = 48
@@ -71,8 +72,8 @@ def links(fps: DataFrame) -> DataFrame:
         for n, (i, j) in enumerate(combinations(range(4), 2))
     ]
     keyed = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "blocks")
-    shared = materialize(keyed.join(sizes, "key"), "blocked")
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("n_", F.col("n")), "blocks")
+    shared = materialize(spread_join(keyed, sizes, ["key"], F.col("fp")), "blocked")
     small = shared.where(F.col("n") <= PAIRS_UP_TO)
     a, b = small.select("key", F.col("fp").alias("a")), small.select("key", F.col("fp").alias("b"))
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)).select("a", "b")
@@ -87,12 +88,12 @@ def links(fps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links reach, the document's own included."""
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
-    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    labels = connected(links(groups.select("fp")))
-    tied = groups.join(labels, groups["fp"] == labels["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    roots = tied.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = materialize(tied.join(roots, "label").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    groups = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "groups")
+    labels = connected(links(groups.select("fp"))).withColumnRenamed("node", "fp")
+    tied = materialize(groups.join(labels.hint("merge"), "fp", "left").select("fp", "least", "rows", F.coalesce("label", "fp").alias("label")), "tied")
+    roots = materialize(tied.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n_")), "roots")
+    named = spread_join(tied, roots, ["label"], F.col("fp")).select("fp", "component_id", F.col("rows").alias("n_"))
+    return spread_join(prints, materialize(named, "named"), ["fp"], F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
