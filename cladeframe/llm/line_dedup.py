@@ -13,7 +13,7 @@ maximal runs.
 
 Cases: a null or empty text is one empty line and stays empty; a text all of whose lines go becomes empty; rows equal in
 id and text are one document and all get the same lines; a null id comes first; runs do not span documents; an empty
-table gives an empty result; extra columns are kept.
+table gives an empty result; extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -22,17 +22,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import n_words
+from .common import id_key, n_words, spread_join, whole_row
 
 MIN_WORDS = 50
 _DOC = ["d", "t"]
-_NO_ID = -(1 << 63)
+_ID = ["h", "g"]
 
 
 def _line_table(docs: DataFrame) -> DataFrame:
-    """(d, t, i, id, w): document id, text hash, line number, line id (hash), words in the line."""
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("t"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
-    return own.select("d", "t", "i", F.xxhash64("line").alias("id"), n_words(F.col("line")).alias("w"))
+    """(d, t, i, h, g, w): document id, text hash, line number, two hashes of the line, words in the line."""
+    lines = F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line")
+    own = docs.select(id_key(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"), lines)
+    return own.select("d", "t", "i", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), n_words(F.col("line")).alias("w"))
 
 
 def _names(pairs: DataFrame) -> DataFrame:
@@ -56,9 +57,9 @@ def _next_at_least(rows: DataFrame, at: Column, value: Column, out: Column, up:
 def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d, t, a, n, run, first): occurrences of repeated runs: lines a to a + n - 1 of a document, the run's name, and
     whether this is its first occurrence."""
-    ids = lines.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id")
-    names = materialize(ids.repartitionByRange("id").sortWithinPartitions("id").withColumn("name", F.monotonically_increasing_id()), "names")
-    at = materialize(lines.join(names, "id").select(*_DOC, "i", "w", F.col("name").alias("r0")), "suffixes")
+    ids = lines.groupBy(*_ID).agg(F.count("*").alias("n_")).where("n_ > 1")
+    names = materialize(ids.repartitionByRange(*_ID).sortWithinPartitions(*_ID).withColumn("name", F.monotonically_increasing_id()), "names")
+    at = materialize(spread_join(lines, names, _ID, F.struct(*_DOC, "i")).select(*_DOC, "i", "w", F.col("name").alias("r0")), "suffixes")
     doc = Window.partitionBy(*_DOC).orderBy("i")
     seg = at.withColumn("seg", F.col("i") - F.row_number().over(doc))  # constant along lines without a gap
     of = [*_DOC, "seg"]
@@ -86,8 +87,9 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             break
         later = table.select(*of, (F.col("i") - step).alias("i"), F.col("r").alias("b"))
         doubled = table.join(later, [*of, "i"]).select(*of, "i", F.col("r").alias("a"), "b")
-        shared = doubled.groupBy("a", "b").agg(F.count("*").alias("_n")).where("_n > 1").select("a", "b")
-        table = materialize(doubled.join(_names(shared), ["a", "b"]).select(*of, "i", F.col("name").alias("r")), "suffixes")
+        doubled = materialize(doubled, "doubled")
+        shared = doubled.groupBy("a", "b").agg(F.count("*").alias("n_")).where("n_ > 1")
+        table = materialize(spread_join(doubled, _names(shared), ["a", "b"], F.struct(*of, "i")).select(*of, "i", F.col("name").alias("r")), "suffixes")
         if table.isEmpty():
             break
     every = found[0]
@@ -95,25 +97,34 @@ def repeated_runs(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         every = every.unionByName(f)
     every = materialize(every, "occurrences")
     place = F.struct("d", "t", "a")
-    intervals = every.groupBy("n", "ra", "rz").agg(F.count("*").alias("copies"), F.min(place).alias("least")).where("copies > 1")
-    return every.join(intervals, ["n", "ra", "rz"]).select("d", "t", "a", "n", F.xxhash64("n", "ra", "rz").alias("run"), (place == F.col("least")).alias("first"))
+    run = ["n", "ra", "rz"]
+    intervals = every.groupBy(*run).agg(F.count("*").alias("n_"), F.min(place).alias("least")).where("n_ > 1")
+    met = spread_join(every, materialize(intervals, "intervals"), run, place)
+    return met.select("d", "t", "a", "n", F.xxhash64(*run).alias("run"), (place == F.col("least")).alias("first"))
+
+
+def later_copies(runs: DataFrame) -> DataFrame:
+    """(d, t, a, z): the maximal runs of lines, a to z, that the later occurrences of repeated runs make up together."""
+    z = F.col("a") + F.col("n") - 1
+    w = Window.partitionBy(*_DOC).orderBy("a")
+    reached = F.max(z).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    begun = runs.where("not first").select(*_DOC, "a", "n").withColumn("new", F.coalesce(F.col("a") > reached + 1, F.lit(True)).cast("int"))
+    return begun.withColumn("k", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*_DOC, "k").agg(F.min("a").alias("a"), F.max(z).alias("z")).drop("k")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs cut from `text`, plus _n_lines and _n_removed."""
     lines = materialize(_line_table(docs).distinct(), "lines")
-    runs = repeated_runs(lines, min_words).where("not first")
-    gone = runs.select(*_DOC, F.explode(F.sequence(F.col("a"), F.col("a") + F.col("n") - 1)).alias("i"))
+    gone = later_copies(repeated_runs(lines, min_words)).select(*_DOC, F.explode(F.sequence("a", "z")).alias("i"))
     gone = materialize(gone.groupBy(*_DOC).agg(F.collect_set("i").alias("gone")), "gone")
     # `gone` grows with the input: never broadcast, so that the join costs alike at every size.
-    l, r = docs.withColumn("_t", F.xxhash64("text")).alias("l"), gone.hint("merge").alias("r")
-    both = l.join(r, (F.coalesce(F.col("l.doc_id").cast("long"), F.lit(_NO_ID)) == F.col("r.d")) & (F.col("l._t") == F.col("r.t")), "left")
-    both = both.select("l.*", F.split("l.text", "\n", -1).alias("_all"), F.col("gone").alias("_gone"))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("_all", k)), "\n"))
+    own = docs.select(whole_row(docs), id_key(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"))
+    both = own.join(gone.hint("merge"), _DOC, "left").withColumn("lines", F.split("row_.text", "\n", -1))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("row_.text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
     return both.select(
-        *[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns],
-        F.greatest(F.size("_all"), F.lit(1)).cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
+        *[(text if c == "text" else F.col("row_")[c]).alias(c) for c in docs.columns],
+        F.greatest(F.size("lines"), F.lit(1)).cast("long").alias("_n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_n_removed"),
     )
 
 
