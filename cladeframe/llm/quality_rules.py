@@ -1,9 +1,9 @@
 """Quality rules by cross-document line frequency.
 
 Lines are normalised (lower case, words joined by one space) and hashed. Per host, the distinct documents that hold a
-line are counted; a host is a `source`, and texts that are equal count as one document there, since exact copies are the
-business of deduplication. Lines in more documents than the limit are boilerplate and removed; a document that keeps too
-small a part of its words is depleted and rejected, as is one that fails the base rules.
+line are counted; a host is a `source`, and a document is a distinct pair of id and text. Lines in more documents than
+the limits are boilerplate and removed; a document that keeps too small a part of its words is depleted and rejected, as
+is one that fails the base rules. So a text that is copied to many documents of a host is rejected there.
 
 Everything about one text is computed from its own words in one pass, with array functions; only line hashes travel.
 
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import WORD_BREAK, words
+from .common import WORD_BREAK, spread_join, text_key, words
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A line is boilerplate on a host if over this many documents, and over this share of them, hold it.
-MIN_DOCS, MAX_SHARE = 10, 0.05
+MIN_DOCS, MAX_SHARE = 10, 0.002
 #: A document is depleted if less than this share of its words is left.
-LEAST_LEFT = 0.3
+LEAST_LEFT = 0.5
 _LOW = (1 << 28) - 1  # low bits of a sort key hold the window's index; texts have under 2^28 words
 
 
@@ -72,29 +72,37 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def common_lines(measured: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """(host, h) of lines above the limits."""
-    texts = measured.groupBy("host", "text_hash").agg(F.any_value("lines").alias("lines"))
-    each = texts.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    hosts = measured.groupBy("host").agg(F.count_distinct("text_hash").alias("docs"))
-    l, r = counts.alias("l"), hosts.alias("r")
-    over = l.join(r, F.col("l.host").eqNullSafe(F.col("r.host"))).where(F.col("n") > F.col("docs") * max_share)
-    return over.select("l.host", "h")
+_TEXT = ["host_key", "text_hash"]
+
+
+def texts_of(measured: DataFrame) -> DataFrame:
+    """Per text of a host: its lines, the documents that have it (n_docs), and the rows (n_rows)."""
+    named = measured.withColumn("host_key", text_key(F.col("host")))
+    each = named.groupBy(*_TEXT, "doc_id").agg(F.any_value("lines").alias("lines"), F.count("*").alias("n_rows"))
+    return each.groupBy(*_TEXT).agg(F.any_value("lines").alias("lines"), F.count("*").alias("n_docs"), F.sum("n_rows").alias("n_rows"))
+
+
+def common_lines(texts: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host_key, h, n_) of lines above the limits; n_ is the number of documents."""
+    each = texts.select("host_key", "n_docs", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = each.groupBy("host_key", "h").agg(F.sum("n_docs").alias("n_")).where(F.col("n_") > min_docs)
+    hosts = texts.groupBy("host_key").agg(F.sum("n_docs").alias("docs"))
+    return counts.join(hosts, "host_key").where(F.col("n_") > F.col("docs") * max_share).select("host_key", "h", "n_")
 
 
 def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, words_left."""
     measured = materialize(measure(docs), "measured")
-    common = materialize(common_lines(measured, min_docs, max_share), "common_lines")
-    lines = measured.groupBy("host", "text_hash").agg(F.any_value("lines").alias("lines")).select("host", "text_hash", F.explode("lines").alias("x"))
-    l, r = lines.select("host", "text_hash", "x.h", "x.w").alias("l"), common.alias("r")
-    gone = l.join(r, F.col("l.host").eqNullSafe(F.col("r.host")) & (F.col("l.h") == F.col("r.h"))).groupBy("l.host", "l.text_hash").agg(F.sum("l.w").alias("gone"))
-    m, g = measured.alias("m"), gone.alias("g")
-    both = m.join(g, F.col("m.host").eqNullSafe(F.col("g.host")) & (F.col("m.text_hash") == F.col("g.text_hash")), "left")
+    texts = materialize(texts_of(measured), "texts")
+    common = materialize(common_lines(texts, min_docs, max_share), "common_lines")
+    lines = texts.select(*_TEXT, "n_rows", F.explode("lines").alias("x")).select(*_TEXT, "n_rows", "x.h", "x.w")
+    met = spread_join(lines, common, ["host_key", "h"], F.col("text_hash"))
+    gone = met.groupBy(*_TEXT).agg(F.sum("w").alias("gone"), F.max("n_rows").alias("n_"))
+    named = measured.drop("lines").withColumn("host_key", text_key(F.col("host")))
+    both = spread_join(named, materialize(gone, "gone"), _TEXT, F.col("doc_id"), "left")
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return both.select(
-        "m.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & (left >= F.col("n_words") * least_left)).alias("kept"), left.alias("words_left"),
     )
