@@ -24,8 +24,9 @@ from .common import kept_in_worker
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Ranks within a length are counted in this many hash buckets, so no task ranks a whole common length.
-RANK_BUCKETS = 256
+#: Ranks within a length are counted in hash buckets, so no task ranks a whole common length: as many buckets as the
+#: pieces need to leave this number to each, 64 at least.
+BUCKET_ROWS = 200_000
 
 
 #: A word of these characters is lower-cased and cut by rule alone, as the tokenizer's own rules would.
@@ -161,8 +162,10 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
     """pieces with `length` (1 to capacity) and whatever else they carry, plus `sequence_id` and `offset`."""
     spark = pieces.sparkSession
-    kept = materialize(pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(RANK_BUCKETS)).cast("int")), "pieces")
-    counts = materialize(kept.groupBy("length", "_bucket").count(), "lengths")  # at most capacity * RANK_BUCKETS rows
+    kept = materialize(pieces, "pieces")
+    buckets = max(64, kept.count() // BUCKET_ROWS)
+    kept = kept.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = materialize(kept.groupBy("length", "_bucket").count(), "lengths")  # at most capacity * buckets rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     slots = spark.createDataFrame(
         plan(histogram, capacity), "_l long, _first long, _end long, _each long, _sequence long, _offset long"
