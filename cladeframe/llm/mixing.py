@@ -5,28 +5,31 @@ for words up to t is a quadratic. A document that starts at word c of its source
 reaches c: the quadratic solved for t is its training position. Targets share all words by weight; a target stops at
 `epochs` times its source's size and the excess is shared again by weight.
 
-Prefix sums are taken in two levels: within a hash bucket of a source, and over the source's at most ORDER_BUCKETS
-buckets. So a source that holds a third of all rows is spread over its buckets.
+Within its source, a document's place is by the MD5 of its id. Prefix sums are taken in two levels: within a bucket of
+leading digits of that hash, and over the source's buckets. There are as many buckets as leave about BUCKET_ROWS rows to
+each, so a source that holds a third of all rows is spread over its buckets at any size.
 
 Cases: a null or blank text has size 0, a target share of 0 words taken and position 0 of its source's stream; a null
-source is a source of its own, last in order; equal hashes are ordered by id and text hash, and rows equal in those are
-interchangeable; repeated rows are mixed as rows of their own; an empty table gives an empty result; extra columns are
-kept by `expand` and never clash, since the operator's own carry a prefix until the end.
+source is a source of its own, last in order; rows with equal ids are ordered by text hash, and rows equal in both are
+interchangeable; repeated rows are mixed as rows of their own; an empty table gives an empty result; extra columns of any
+name are kept by `expand`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
-from .common import n_words
+from .common import id_key, n_words, spread_join, text_key, whole_row
 
 WEIGHTS = (5, 2, 1)
 #: How far a source's rate leans: it starts at (1 + lean) and ends at (1 - lean) times its mean. Cycled like WEIGHTS.
 LEANS = (0.5, 0.0, -0.5)
 EPOCHS = 3
-ORDER_BUCKETS = 512
+BUCKET_ROWS = 50_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
@@ -75,18 +78,19 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     own = materialize(
         docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text").alias("_text_hash"), n_words(F.col("text")).alias("size")), "sizes"
     )
-    hashed = own.withColumn("_h", F.xxhash64("doc_id", "_text_hash")).withColumn("_b", F.shiftrightunsigned("_h", 55))
-    sums = materialize(hashed.groupBy("source", "_b").agg(F.sum("size").alias("n")), "bucket_sizes")
+    digits = max(2, math.ceil(math.log(max(1, own.count() / BUCKET_ROWS), 16)))
+    at = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    hashed = own.withColumn("_h", at).withColumn("_b", F.left("_h", F.lit(digits))).withColumn("_s", text_key(F.col("source")))
+    sums = materialize(hashed.groupBy("source", "_s", "_b").agg(F.sum("size").alias("n")), "bucket_sizes")
     per_source = sums.groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = materialize(source_targets(per_source, weights, epochs), "targets")
-    past = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # ORDER_BUCKETS rows a source
-    ahead = sums.select("source", "_b", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_ahead"))
-    w = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "_text_hash")
+    past = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # the buckets of a source
+    ahead = sums.select("_s", "_b", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_ahead"))
+    # Each bucket gets its source's numbers, so that documents are joined by bucket, never by a whole source.
+    ahead = ahead.join(targets.select(text_key(F.col("source")).alias("_s"), "source_size", "target", "lean"), "_s")
+    w = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "_text_hash")
     run = hashed.withColumn("_run", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    l, r = run.alias("l"), ahead.alias("r")
-    placed = l.join(r, F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l._b") == F.col("r._b"))).select("l.*", (F.col("_run") + F.col("_ahead")).alias("_from"))
-    l, r = placed.alias("l"), targets.alias("r")
-    both = l.join(r, F.col("l.source").eqNullSafe(F.col("r.source"))).select("l.*", "r.source_size", "r.target", "r.lean")
+    both = run.join(ahead, ["_s", "_b"]).withColumn("_from", F.col("_run") + F.col("_ahead"))
     whole = F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))
     rest = F.floor("target") - whole * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_from")))
@@ -111,14 +115,16 @@ def expand(docs: DataFrame, plan: DataFrame) -> DataFrame:
     A copy is whole: the one that the target cuts is taken if at least half of it is due.
     """
     # Rows that repeat a document in full share one decision: their copies are counted over the group.
-    need = plan.groupBy("doc_id", "_text_hash").agg(F.count("*").alias("_rows"), F.sum("taken").alias("_taken"), F.max("size").alias("_size"), F.min("_from").alias("_from"), F.max("source_size").alias("_total"), F.max("target").alias("_target"), F.max("lean").alias("_lean"))
-    l, r = docs.withColumn("_text_hash", F.xxhash64("text")).alias("l"), need.alias("r")
-    same = F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.col("l._text_hash") == F.col("r._text_hash"))
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.round(F.col("_taken") / F.col("_rows") / F.col("_size"))).cast("int")
-    taken = l.join(r, same).select(*[F.col(f"l.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(0), copies)).alias("_copy"), copies.alias("_copies"), "_from", "_total", "_target", "_lean")
-    taken = taken.where(F.col("_copy") < F.col("_copies"))
-    share = F.when(F.col("_target") > 0, (F.col("_copy") * F.col("_total") + F.col("_from")) / F.col("_target")).otherwise(0.0)
-    return taken.withColumn("_position", due(share, F.col("_lean"))).orderBy("_position", "doc_id").select(*[f"`{c}`" for c in docs.columns])
+    keys = ["d", "t", "s"]
+    own = plan.select(id_key(F.col("doc_id")).alias("d"), F.col("_text_hash").alias("t"), text_key(F.col("source")).alias("s"), "taken", "size", "_from", "source_size", "target", "lean")
+    most = [F.max(c).alias(c) for c in ("size", "source_size", "target", "lean")]
+    need = materialize(own.groupBy(*keys).agg(F.count("*").alias("n_"), F.sum("taken").alias("taken"), F.min("_from").alias("from"), *most).withColumn("rows", F.col("n_")), "need")
+    rows = docs.select(whole_row(docs), id_key(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"), text_key(F.col("source")).alias("s"))
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("rows") / F.col("size"))).cast("int")
+    both = spread_join(rows, need, keys, F.monotonically_increasing_id()).withColumn("copies", copies).where("copies > 0")
+    taken = both.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    share = F.when(F.col("target") > 0, (F.col("copy") * F.col("source_size") + F.col("from")) / F.col("target")).otherwise(0.0)
+    return taken.withColumn("position", due(share, F.col("lean"))).orderBy("position", "d", "t").select("row_.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
