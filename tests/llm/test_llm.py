@@ -16,11 +16,12 @@ from cladeframe.llm import queries as Q
 from cladeframe.llm.components import connected
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, length int, _b string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h long, length int, _b string, d long, t string, row_ int, lines string, gone string, _all int, _gone int, _t int, copy int, _copy int, _from int, position double, _text_hash string, target int, salt_ int, hot_ int, n_ int, label int, norm int, key int, uid int, _row int"
+CLASH = (7, 9, "x", 1, "t", 2, "l", "g", 3, 4, 5, 6, 7, 8, 0.5, "th", 9, 10, 11, 12, 13, 14, 15, 16, 17)
 
 
 def rows_of(texts, start=0):
-    return [(start + k, t, "en" if k % 3 else None, f"s{k % 4}" if k % 5 else None, len(t or ""), 7, 9, "x") for k, t in enumerate(texts)]
+    return [(start + k, t, "en" if k % 3 else None, f"s{k % 4}" if k % 5 else None, len(t or ""), *CLASH) for k, t in enumerate(texts)]
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +43,7 @@ def docs(spark):
     multi = [said(20), said(20), said(20)]
     texts += ["\n".join([said(9), *multi, said(4)]), "\n".join([*multi, said(70)]), "\n".join([said(4)] + multi)]
     rows = rows_of(texts)
-    rows += [rows[9], rows[9], (None, texts[14], "en", "s1", 1, 7, 9, "x"), (None, None, None, None, None, None, None, None)]
+    rows += [rows[9], rows[9], (None, texts[14], "en", "s1", 1, *CLASH), (None,) * (5 + len(CLASH))]
     return spark.createDataFrame(rows, SCHEMA), rows
 
 
@@ -142,6 +143,7 @@ def test_line_dedup(docs, none, least):
     before = defaultdict(list)
     for r in rows:
         before[r[0]].append(r[1])
+    assert Counter(tuple(r)[2:-2] for r in got) == Counter(r[2:] for r in rows)
     for r in got:
         own = {want[-(1 << 63) if r["doc_id"] is None else r["doc_id"], t] if t is not None else None for t in before[r["doc_id"]]}
         assert r["text"] in own
@@ -244,7 +246,7 @@ def test_quality_rules(spark, docs, none):
     _, rows = docs
     junk = ["a b c " * 40, "x y z w " * 3 + " ".join(map(str, range(60))), "q\nq\nq #$ <|>" + " tail" * 70, "a a a a a a"]
     boiler = "\n".join(f"Boiler plate line number {k} of many" for k in range(12))
-    rows = rows + rows_of(junk, 500) + [(600 + k, boiler + f"\nown{k}", "en", "hostA", 1, 7, 9, "x") for k in range(30)] + [(700, boiler.upper() + "\n" + " ".join(f"u{k}" for k in range(200)), "en", "hostA", 1, 7, 9, "x")]
+    rows = rows + rows_of(junk, 500) + [(600 + k, boiler + f"\nown{k}", "en", "hostA", 1, *CLASH) for k in range(30)] + [(700, boiler.upper() + "\n" + " ".join(f"u{k}" for k in range(200)), "en", "hostA", 1, *CLASH)]
     got = pdf(quality_rules.quality_rules(spark.createDataFrame(rows, SCHEMA)))
     want = Counter((r[0], *brute_quality(r[1])) for r in rows)
     assert Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
@@ -373,7 +375,8 @@ def test_mixing(spark, docs, none):
     assert sorted(map(str, got)) == sorted(map(str, pdf(mixing.mix_report(df))))
     assert mixing.mix_report(none).count() == 0
     mixed = mixing.expand(df, mixing.plan_mix(df))
-    assert mixed.columns == df.columns and {r["doc_id"] for r in mixed.collect()} <= {r[0] for r in rows}
+    mixed_rows = mixed.collect()
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed_rows} <= set(rows)
 
 
 def test_mixing_due_inverts_demand(spark):
@@ -384,31 +387,49 @@ def test_mixing_due_inverts_demand(spark):
             assert abs(got - t) < 1e-9
 
 
-def test_kneser_ney_sums_to_one_and_matches_formula():
-    rnd = random.Random(1)
-    texts = ["".join(rnd.choice("abcdeXY7 ") for _ in range(rnd.randrange(0, 30))) for _ in range(60)] + [None]
-    table = kneser_ney.code_table("abcd ")
-    keys, counts = np.unique(np.concatenate([kneser_ney.gram_keys(table, t, 3) for t in texts]), return_counts=True)
-    m = kneser_ney.KneserNey("abcd ", keys, counts, 3)
-    p = np.exp(-m.nats.astype(float)).reshape(64, 64, 64)
-    assert np.allclose(p.sum(axis=2), 1, atol=1e-4) and (p > 0).all()
-    d3 = kneser_ney.KneserNey.discounts(counts)
-    two, c2 = np.unique(keys % 4096, return_counts=True)
-    d2 = kneser_ney.KneserNey.discounts(c2)
-    one, c1 = np.unique(two % 64, return_counts=True)
-    d1 = kneser_ney.KneserNey.discounts(c1)
-    own = lambda k, c, head: [(x % 64, n) for x, n in zip(k.tolist(), c.tolist()) if x // 64 == head]
-
-    def level(k, c, d, head, w, lower):
-        seen = own(k, c, head)
-        total = sum(n for _, n in seen)
-        if not total:
+def brute_kneser_ney(trained, text, kept, order):
+    """Total nats of a text by the formula, over plain tuples of classes."""
+    table = kneser_ney.code_table(kept)
+
+    def codes(t):
+        return [kneser_ney._START] * (order - 1) + [int(table[ord(c)]) for c in t or ""] + [kneser_ney._END]
+
+    levels = {order: Counter(tuple(c[k : k + order]) for c in map(codes, trained) for k in range(len(c) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    d = {k: kneser_ney.discounts(*[sum(c == n for c in lv.values()) for n in (1, 2, 3, 4)]) for k, lv in levels.items()}
+    heads = {k: defaultdict(list) for k in levels}
+    for k, lv in levels.items():
+        for g, c in lv.items():
+            heads[k][g[:-1]].append(c)
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (kneser_ney._FIRST + len(kept))
+        k, seen = len(g), heads[len(g)].get(g[:-1])
+        if not seen:
             return lower
-        return (max(n - d[min(n, 3)], 0) if (n := dict(seen).get(w, 0)) else 0) / total + sum(d[min(n, 3)] for _, n in seen) / total * lower
+        off = lambda c: d[k][min(c, 3) - 1]
+        own = levels[k].get(g, 0)
+        return ((own - off(own) if own else 0) + sum(map(off, seen)) * lower) / sum(seen)
+
+    c = codes(text)
+    return [p(tuple(c[k : k + order])) for k in range(len(c) - order + 1)]
 
-    for u, v, w in [(0, 0, 5), (5, 6, 7), (6, 6, 2), (3, 4, 9), (40, 41, 5), (40, 5, 6)]:
-        lower = level(two, c2, d2, v, w, level(one, c1, d1, 0, w, 1 / 64))
-        assert abs(p[u, v, w] - level(keys, counts, d3, u * 64 + v, w, lower)) < 1e-6
+
+def test_kneser_ney_matches_formula(spark):
+    rnd = random.Random(1)
+    said = lambda: "".join(rnd.choice("abcdeXY7 ") for _ in range(rnd.randrange(0, 30)))
+    trained, fresh = [said() for _ in range(60)] + [None], [said() for _ in range(40)] + ["", None, "zzz", "a" * 30000]
+    frame = lambda texts: spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    tables = kneser_ney.model_tables(kneser_ney.gram_counts(frame(trained), "abcd "))
+    got = {r["doc_id"]: (r["n_tokens"], r["nats"]) for r in kneser_ney.perplexities(frame(fresh), ("abcd ", tables)).collect()}
+    for k, t in enumerate(fresh):
+        p = brute_kneser_ney(trained, t, "abcd ", kneser_ney.ORDER)
+        assert got[k][0] == len(p) and abs(got[k][1] + sum(map(math.log, p))) < 1e-3 * max(1, len(p) / 1000)
+    # what may follow a context sums to one
+    heads = [brute_kneser_ney(trained, "abX" + c, "abcd ", 5)[3] for c in "abcd X7?"] + [brute_kneser_ney(trained, "abX", "abcd ", 5)[3]]
+    start = 1 - sum(heads)
+    assert 0 < start < 0.1  # the class of the start, which never follows
 
 
 def test_quality_classifier(spark, none):
@@ -420,6 +441,14 @@ def test_quality_classifier(spark, none):
     assert r.get((1, 0, False), 0) / (r[1, 0, True] + r.get((1, 0, False), 0)) < 0.02
     gone, left = (sum(n for (q, _, kept), n in r.items() if q == 0 and kept is k) for k in (False, True))
     assert gone / (gone + left) > 0.8
+    # Held out: neither the model nor the threshold sees these labels.
+    apart = F.xxhash64("doc_id", F.lit(9)) % 5 == 0
+    got = kneser_ney.quality_report(docs, labels.where(~apart)).join(labels.where(apart), "doc_id")
+    r = {(x["quality"], x["toxic"], x["kept"]): x["n"] for x in got.groupBy("quality", "toxic", "kept").agg(F.count("*").alias("n")).collect()}
+    print("held out", r)
+    assert r.get((1, 0, False), 0) / (r[1, 0, True] + r.get((1, 0, False), 0)) < 0.03
+    gone, left = (sum(n for (q, _, kept), n in r.items() if q == 0 and kept is k) for k in (False, True))
+    assert gone / (gone + left) > 0.8
     assert kneser_ney.quality_report(none, labels).count() == 0
     some = spark.createDataFrame(rows_of([None, "", "a b", "a b"]), SCHEMA)
     assert kneser_ney.quality_report(some, labels.limit(0)).where("kept").count() == 4
