@@ -344,6 +344,83 @@ def test_suffix_tree_is_a_distribution():
         assert abs(total - 1) < 1e-9
 
 
+def brute_rarer(texts, model):
+    """log10 score of each text by all states, frequent or not, over plain dictionaries; texts: (codes, held out)."""
+    hot2, hot3 = (set(x.tolist()) for x in model.frequent)
+    code = lambda h: sum(c * model.size**k for k, c in enumerate(h))
+    counts = {2: defaultdict(Counter), 3: defaultdict(Counter)}
+    for codes, held in texts:
+        padded = [0, *codes]  # a start counts as an end
+        for i in range(1, len(padded)):
+            for d in (2, 3):
+                if i >= d and not held:
+                    counts[d][tuple(padded[i - d : i][::-1])][padded[i]] += 1
+
+    def by(state, x, p, lower):
+        c = counts[len(state)].get(state)
+        n = sum(c.values()) if c else 0
+        if n < 2:
+            return p
+        own = lambda y, q, left: (max(c[y] - left - 0.75, 0) + 0.75 * sum(v - left * (w == y) > 0 for w, v in c.items()) * q) / (n - left)
+        gain = sum(v * math.log(max(max(v - 1.75, 0) / (n - 1) + 0.75 * (len(c) - (v == 1)) / (n - 1) * lower(y), 1e-12) / lower(y)) for y, v in c.items())
+        return own(x, p, 0) if gain >= suffix_tree_lm.GAIN else p
+
+    out = []
+    for codes, _ in texts:
+        padded, total = [0, *codes], 0.0
+        for i in range(1, len(padded)):
+            h = padded[max(0, i - 3) : i][::-1]
+
+            def frequent(x, h=h):
+                return model.p([np.array([c]) for c in (h + [0, 0])[:3]], [np.array([k < len(h)]) for k in range(3)], np.array([x]))[0]
+
+            def two(x, h=h, frequent=frequent):
+                return by(tuple(h[:2]), x, frequent(x), frequent) if len(h) > 1 and code(h[:2]) not in hot2 else frequent(x)
+
+            p = by(tuple(h), padded[i], two(padded[i]), two) if len(h) > 2 and code(h) not in hot3 else two(padded[i])
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_suffix_tree_rarer_states(spark, monkeypatch):
+    rnd = random.Random(12)
+    words = [f"w{k}" for k in range(12)]
+    said = [[rnd.choice(words) for _ in range(rnd.randrange(1, 40))] for _ in range(60)]
+    said += [said[3], said[4], said[5] + said[6]]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(said)], "doc_id long, text string")
+    rows = df.select("doc_id", "text", suffix_tree_lm.held_out(F.col("doc_id")).alias("held_out"))
+    for fewest in (3, 40, 10**6):
+        monkeypatch.setattr(suffix_tree_lm, "FEWEST", fewest)
+        vocabulary = suffix_tree_lm.count_words(rows.where("not held_out")).cache()
+        n = vocabulary.agg(F.sum("c")).first()[0]
+        known, model = suffix_tree_lm.symbols(vocabulary, n)
+        coded = suffix_tree_lm.encode(rows, known).cache()
+        model = suffix_tree_lm.learn(coded.where("not held_out"), model, n)
+        own = coded.collect()
+        texts = [(np.frombuffer(r["codes"], np.uint16).tolist(), r["held_out"]) for r in own]
+        deep = {r["uid"]: r["deep"] for r in suffix_tree_lm.rarer_states(coded, model, n).collect()}
+        for r, (codes, _), want in zip(own, texts, brute_rarer(texts, model)):
+            got = model.log10(np.array(codes), np.array([len(codes)])).sum() + deep.get(r["uid"], 0.0)
+            assert abs(got - want) < 1e-6
+        assert deep
+
+
+def test_suffix_tree_knows_what_occurs_twice(spark, sf):
+    """Training documents that occur twice score above their like; held-out ones do not fall below the base."""
+    real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    n = real.count()
+    whole = real.union(real.where("doc_id % 4 = 1").select((F.col("doc_id") + 10 * n).alias("doc_id"), "text"))
+    twice = {r["text"] for r in whole.where(~suffix_tree_lm.held_out(F.col("doc_id"))).groupBy("text").count().where("count > 1").collect()}
+    got = suffix_tree_lm.score_documents(whole).join(whole, "doc_id").where("n_tokens > 20").collect()
+    rate = lambda rs: sorted((r["score"] - r["base_score"]) / r["n_tokens"] for r in rs)
+    more, once = rate(r for r in got if r["text"] in twice), rate(r for r in got if r["text"] not in twice)
+    # Of the others, some are near copies of each other.
+    assert sum(x > once[len(once) * 8 // 10] for x in more) > 0.9 * len(more), (more[:: len(more) // 10], once[:: len(once) // 10])
+    fresh = [r for r in got if r["held_out"] and r["text"] not in twice]
+    assert sum(r["score"] for r in fresh) > sum(r["base_score"] for r in fresh)
+
+
 def test_mixing(spark, docs, none):
     df, rows = docs
     rows = [r for r in rows]
