@@ -1,7 +1,8 @@
 """Chat formatting as a prefix tree.
 
 Conversations that share their first turns share tree nodes; a node is a turn after a given history. Nodes are emitted
-once, in depth-first order: sorting by the path of node keys is that order, so it is a range sort. Each node carries its
+once, in depth-first order: conversations are range-sorted by their paths of node keys, and a node belongs to the first
+conversation that has it; (that conversation's rank, depth) is the order of nodes. Each node carries its
 place in the emitted stream of tokens, the position id of its first token (tokens of its ancestors), and the stream
 intervals of its ancestors, which are all that its tokens may attend to besides the node itself.
 
@@ -9,8 +10,8 @@ The template marks a turn as <|im_start|>role, newline, text, <|im_end|>, newlin
 doubled, and one is set after the first character of a control string (or of what would read as an escape), so no
 control string is left in them and reading back is exact; a newline in a role is written as backslash, n.
 
-Cases: turns are ordered by turn (null first), role, text; a null text or role is empty; rows with a null id form one
-conversation; repeated rows are turns of their own; a long conversation is one row, as it is one training example; an
+Cases: turns are ordered by turn (null first), role, text; a null text or role is empty; a row with a null id
+belongs to no other and is a conversation of its own; repeated rows are turns of their own; a long conversation is one row, as it is one training example; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,10 +22,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
+from .common import spread_join
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 _ESCAPE = re.compile(r"\\|[<\[](?=\\|\||/?s>|/?INST\]|</?SYS>>)")
@@ -49,34 +52,44 @@ def role_out(role: str) -> str:
 
 
 def turn_rows(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, depth, node, path, segment (the formatted turn), loss_at, loss_len.
+    """One row per turn: conv (a number of the conversation), conv_id, depth, node, path, segment (the formatted turn),
+    loss_at, loss_len.
 
-    node is the 128-bit digest of the turns so far; path joins 8 bytes of each digest on the way.
+    node is the 128-bit digest of the turns so far; the last turn carries the path, 8 bytes of each digest on the way.
     """
     turn = F.struct(F.col("turn").cast("long").alias("t"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    whole = conversations.select(F.col("conv_id").cast("long"), turn.alias("x")).groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
+    own = conversations.select(F.col("conv_id").cast("long"), turn.alias("x"))
+    whole = own.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("x")).alias("turns"))
+    whole = whole.unionByName(own.where("conv_id is null").select("conv_id", F.array("x").alias("turns")))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "depth", "node", "path", "segment", "loss_at", "loss_len"]
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+        names = ["conv", "conv_id", "depth", "node", "path", "segment", "loss_at", "loss_len"]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int32(), pa.int32()]
+        conv = TaskContext.get().partitionId() << 33
         for b in batches:
             for conv_id, turns in zip(b.column(0).to_pylist(), b.column(1)):
-                rows, node, path = [], b"", b""
-                for depth, x in enumerate(turns.as_py()):
+                rows, node, path, turns = [], b"", b"", turns.as_py()
+                for depth, x in enumerate(turns):
                     role, body = role_in(x["role"]), escape(x["text"])
                     node = hashlib.blake2b(node + len(role.encode()).to_bytes(8, "big") + role.encode() + body.encode(), digest_size=16).digest()
                     path += node[:8]
                     head = f"{START}{role}\n"
                     loss = len(body) if x["role"] == "assistant" else 0
-                    rows.append((conv_id, depth, node, path, head + body + END, len(head), loss))
+                    rows.append((conv, conv_id, depth, node, path if depth == len(turns) - 1 else None, head + body + END, len(head), loss))
+                conv += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return whole.mapInArrow(walk, "conv_id long, depth int, node binary, path binary, segment string, loss_at int, loss_len int")
+    return whole.mapInArrow(walk, "conv long, conv_id long, depth int, node binary, path binary, segment string, loss_at int, loss_len int")
 
 
 def emit(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """The stream: node, segment, loss_at, loss_len, ids (binary, 32 bits each), n_ids, starts (first token's place)."""
-    nodes = turns.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("path", "segment", "loss_at", "loss_len")])
+    """The stream: node, segment, loss_at, loss_len, ids (binary, 32 bits each), n_ids, starts (first token's place), and
+    n_, how many conversations have the node."""
+    leaves = turns.where("path is not null").select("conv", "path").repartitionByRange("path").sortWithinPartitions("path")
+    ranks = materialize(leaves.select("conv", F.monotonically_increasing_id().alias("rank")), "ranks")
+    # A conversation's turns are joined with one row: no key is hot.
+    firsts = turns.select("conv", "node").join(ranks, "conv").groupBy("node").agg(F.min("rank").alias("rank"), F.count("*").alias("n_"))
+    nodes = turns.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("depth", "segment", "loss_at", "loss_len")]).join(firsts, "node")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -98,8 +111,8 @@ def emit(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
                 yield b.append_column("n_ids", pa.array([len(x) // 4 for x in ids], pa.int64()))
 
     # Sorted first: the range sort reads its input twice, and encoding keeps the rows' order.
-    ranged = nodes.repartitionByRange("path").sortWithinPartitions("path")
-    ranged = ranged.mapInArrow(encode, "node binary, path binary, segment string, loss_at int, loss_len int, ids binary, n_ids long")
+    ranged = nodes.repartitionByRange("rank", "depth").sortWithinPartitions("rank", "depth")
+    ranged = ranged.mapInArrow(encode, "node binary, depth int, segment string, loss_at int, loss_len int, rank long, n_ long, ids binary, n_ids long")
     ranged = materialize(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")), "tree")
     sums, before, starts = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.sum("n_ids").alias("n")).collect()}, 0, []
     for p in sorted(sums):  # a number per partition
@@ -108,15 +121,15 @@ def emit(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     at = ranged.sparkSession.createDataFrame(starts, "_p int, _start long")
     run = F.sum("n_ids").over(Window.partitionBy("_p").orderBy("_m").rowsBetween(Window.unboundedPreceding, 0))
     placed = ranged.withColumn("_run", run).join(F.broadcast(at), "_p")
-    return placed.select("node", "segment", "loss_at", "loss_len", "ids", "n_ids", (F.col("_start") + F.col("_run") - F.col("n_ids")).alias("starts"))
+    return placed.select("node", "segment", "loss_at", "loss_len", "ids", "n_ids", "n_", (F.col("_start") + F.col("_run") - F.col("n_ids")).alias("starts"))
 
 
 def conversations_of(turns: DataFrame, stream: DataFrame) -> DataFrame:
     """Per conversation its nodes of the stream, in order: conv_id, nodes."""
     columns = ["starts", "n_ids", "loss_at", "loss_len", "segment", "position", "n_intervals", "mask"]
     columns = [c for c in columns if c in stream.columns]
-    found = turns.select("conv_id", "depth", "node").join(stream.select("node", *columns), "node")
-    return found.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", *columns))).alias("nodes"))
+    found = spread_join(turns.select("conv", "conv_id", "depth", "node"), stream.select("node", "n_", *columns), ["node"], F.col("conv"))
+    return found.groupBy("conv", "conv_id").agg(F.array_sort(F.collect_list(F.struct("depth", "node", *columns))).alias("nodes")).drop("conv")
 
 
 def attention(read: DataFrame) -> DataFrame:
@@ -143,7 +156,7 @@ def attention(read: DataFrame) -> DataFrame:
 def masked(turns: DataFrame, stream: DataFrame) -> DataFrame:
     """The stream with each node's position, number of ancestor intervals, and mask: the SHA-256 of "start:end" of these
     intervals, joined by commas."""
-    seen = attention(conversations_of(turns, stream.select("node", "starts", "n_ids")))
+    seen = attention(conversations_of(turns, stream.select("node", "n_", "starts", "n_ids")))
     said = F.transform("ancestors", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
     mask = seen.select("node", "position", F.size("ancestors").cast("long").alias("n_intervals"), F.sha2(F.array_join(said, ","), 256).alias("mask"))
     return stream.join(mask, "node")

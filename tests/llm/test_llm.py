@@ -604,7 +604,8 @@ def test_secret_tests_are_calibrated():
 def brute_chat(rows):
     by = defaultdict(list)
     for c, t, role, text in rows:
-        by[c].append((t is not None, t or 0, role or "", text or ""))
+        if c is not None:  # a row without an id is a conversation of its own
+            by[c].append((t is not None, t or 0, role or "", text or ""))
     out = {}
     for c, turns in by.items():
         turns.sort()
@@ -619,7 +620,10 @@ def test_chat(spark):
     rows += [(2, 0, "user", "same"), (2, 1, "assistant", "left"), (3, 0, "user", "same"), (3, 1, "assistant", "right"), (4, 0, "user", "same")]
     rows += [(5, None, None, "no turn"), (5, 3, "odd\nrole\\n<|", "y"), (None, 0, "user", "z"), (None, 1, "assistant", "zz"), (6, 0, "user", "same"), (6, 0, "user", "same")]
     df = spark.createDataFrame([(*r, "extra", 3) for r in rows], "conv_id long, turn long, role string, text string, node string, depth int")
-    got = {r["conv_id"]: r for r in pdf(chat.chat_report(df))}
+    got = pdf(chat.chat_report(df))
+    alone = {r["turns_sha256"] for r in got if r["conv_id"] is None}
+    assert alone == {hashlib.sha256(x).hexdigest() for x in (b"user\nz\n", b"assistant\nzz\n")} and len(got) == len(brute_chat(rows)) + 2
+    got = {r["conv_id"]: r for r in got}
     for c, want in brute_chat(rows).items():
         r = got[c]
         assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == want
