@@ -14,8 +14,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +21,9 @@ from .common import words
 
 GRAM, WINDOW = 5, 12
 _LOW = (1 << 28) - 1
-#: Range buckets of ids for finding each document's neighbour: a bucket is sorted by one task, and spills.
-MAX_BUCKETS, DOCS_A_BUCKET = 4096, 2000
+#: Range buckets of ids for finding each document's neighbour: as many as leave about this many documents to each. A
+#: bucket is sorted by one task, and spills. Cuts are quantiles up to this number; between two of them, equal widths.
+DOCS_A_BUCKET, CUTS = 10_000, 1024
 
 
 def winnow(df: DataFrame, text: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -72,22 +71,28 @@ def with_next(df: DataFrame, key: str, tie: str, cols: list[str]) -> DataFrame:
     """
     spark = df.sparkSession
     rank = F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("double")
-    n = df.select(key).count()
-    buckets = max(1, min(MAX_BUCKETS, max(n // DOCS_A_BUCKET, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    probs = [k / buckets for k in range(1, buckets)]
-    cuts = sorted(set(df.select(rank.alias("x")).approxQuantile("x", probs, 0.2 / buckets))) if n and probs else []
-    bucket = _bucket_of(rank, cuts) if cuts else F.lit(0)
-    heads = {bisect_right(cuts, r["x"]): r["x"] for r in df.select(rank.alias("x"), bucket.alias("b")).groupBy("b").agg(F.max("x").alias("x")).collect()}
-    full = sorted(heads)  # at most MAX_BUCKETS numbers
-    to = {b: full[(k + 1) % len(full)] for k, b in enumerate(full)}
-    head = F.array(*[F.lit(heads.get(b)).cast("double") for b in range(len(cuts) + 1)])
-    above = F.array(*[F.lit(to.get(b)).cast("int") for b in range(len(cuts) + 1)])
+    n, low, high = df.select(rank.alias("x")).agg(F.count("*"), F.min("x"), F.max("x")).first()
+    buckets = max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // DOCS_A_BUCKET)
+    tops = min(buckets, CUTS)
+    probs = [k / tops for k in range(1, tops)]
+    cuts = sorted(set(df.select(rank.alias("x")).approxQuantile("x", probs, 0.2 / tops))) if n and probs else []
+    bucket = F.lit(0).cast("long")
+    if cuts:
+        parts = -(-buckets // tops)
+        top, edges = _bucket_of(rank, cuts), F.array(*map(F.lit, [low, *cuts, high]))
+        width = F.get(edges, top + 1) - F.get(edges, top)
+        part = F.when(width > 0, F.least(F.floor((rank - F.get(edges, top)) / width * parts), F.lit(parts - 1))).otherwise(0)
+        bucket = top * F.lit(parts).cast("long") + part
+    # One row per bucket: its number, its greatest key, and the bucket above it.
+    heads = sorted((r["b"], r["x"]) for r in df.select(rank.alias("x"), bucket.alias("b")).groupBy("b").agg(F.max("x").alias("x")).collect())
+    above = [(b, x, heads[(k + 1) % len(heads)][0]) for k, (b, x) in enumerate(heads)]
+    tied = F.broadcast(spark.createDataFrame(above, "_b long, _head double, _above long"))
     own = F.struct(F.col("_b").alias("b"), F.lit(0).alias("ghost"))
-    ghost = F.when(F.get(head, F.col("_b")) == F.col("_x"), F.struct(F.get(above, F.col("_b")).alias("b"), F.lit(1).alias("ghost")))
-    dealt = df.withColumn("_x", rank).withColumn("_b", bucket.cast("int")).withColumn("_at", F.explode(F.array_compact(F.array(own, ghost))))
+    ghost = F.when(F.col("_head") == F.col("_x"), F.struct(F.col("_above").alias("b"), F.lit(1).alias("ghost")))
+    dealt = df.withColumn("_x", rank).withColumn("_b", bucket).join(tied, "_b").withColumn("_at", F.explode(F.array_compact(F.array(own, ghost))))
     w = Window.partitionBy("_at.b").orderBy(F.col("_at.ghost"), F.col(key).desc_nulls_last(), F.col(tie))
     led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in cols])
-    return led.where("_at.ghost = 0").drop("_x", "_b", "_at")
+    return led.where("_at.ghost = 0").drop("_x", "_b", "_head", "_above", "_at")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

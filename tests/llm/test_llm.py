@@ -305,7 +305,9 @@ def test_winnowing_rightmost_minimum(spark):
     assert {winnowing._LOW - (x & winnowing._LOW) for x in sel} == want
 
 
-def test_next_document_over_many_buckets(spark):
+@pytest.mark.parametrize("docs_a_bucket", [10_000, 1])
+def test_next_document_over_many_buckets(spark, monkeypatch, docs_a_bucket):
+    monkeypatch.setattr(winnowing, "DOCS_A_BUCKET", docs_a_bucket)
     ids = random.Random(1).sample(range(10**6), 3000)
     df = spark.createDataFrame([(i, f"t{i}", i) for i in ids], "doc_id long, v string, tie long")
     got = {r["doc_id"]: r["next_v"] for r in winnowing.with_next(df, "doc_id", "tie", ["v"]).collect()}
