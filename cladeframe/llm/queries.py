@@ -61,3 +61,83 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {}
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLES["op2_line_dedup"] = rf"""
+WITH docs AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT doc_id, i, len({_WORDS.format("ls[i + 1]")}) AS w FROM (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM docs)
+), c AS (
+  SELECT doc_id, i, sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS ends, sum(w) OVER (PARTITION BY doc_id ORDER BY i) - w AS starts FROM l
+), runs AS (
+  SELECT x.doc_id, x.i AS a, min(y.i) AS z FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.ends >= x.starts + {line_dedup.MIN_WORDS} GROUP BY ALL
+  UNION
+  SELECT y.doc_id, max(x.i) AS a, y.i AS z FROM c x JOIN c y ON x.doc_id = y.doc_id AND x.starts <= y.ends - {line_dedup.MIN_WORDS} GROUP BY y.doc_id, y.i
+), told AS (
+  SELECT doc_id, a, z, row_number() OVER (PARTITION BY array_to_string(ls[a + 1:z + 1], chr(10)) ORDER BY doc_id, a) AS n FROM runs JOIN docs USING (doc_id)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS i FROM told WHERE n > 1
+), cut AS (
+  SELECT doc_id, count(*) AS n, list(i) AS g FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+  CASE WHEN n IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(len(ls)), lambda k: NOT list_contains(g, k)), lambda k: ls[k + 1]), chr(10)) END AS text
+FROM docs LEFT JOIN cut USING (doc_id)
+"""
+
+ORACLES["op4_quality_rules"] = rf"""
+WITH docs AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format("text")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents
+), windows AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
+), again AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM windows WHERE n > 1) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, source, array_to_string(x, ' ') AS k, len(x) AS w FROM (SELECT doc_id, source, {_WORDS.format("lower(l)")} AS x FROM (SELECT doc_id, source, unnest(ls) AS l FROM docs))
+), hosts AS (
+  SELECT source, count(DISTINCT doc_id) AS n FROM docs GROUP BY source
+), common AS (
+  SELECT l.source, k FROM lines l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source GROUP BY l.source, k, h.n
+  HAVING count(DISTINCT doc_id) > {quality_rules.MIN_DOCS} AND count(DISTINCT doc_id) > {quality_rules.MAX_SHARE} * h.n
+), gone AS (
+  SELECT l.doc_id, sum(w) AS n FROM lines l JOIN common c ON l.source IS NOT DISTINCT FROM c.source AND l.k = c.k GROUP BY l.doc_id
+), told AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(a.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(w) - coalesce(g.n, 0) AS BIGINT) AS words_left
+  FROM docs d LEFT JOIN again a ON d.doc_id = a.doc_id LEFT JOIN gone g ON d.doc_id = g.doc_id
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND words_left >= n_words * {quality_rules.LEAST_LEFT} AS kept
+FROM told
+"""
+
+ORACLES["op7_source_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source
+), w AS (
+  SELECT source, source_size, 3 * source_size AS most, CASE k % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CASE k % 3 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.0::DOUBLE ELSE -0.5::DOUBLE END AS lean FROM sizes
+), fill(step, level, held) AS (
+  SELECT 0, CAST(sum(source_size) AS DOUBLE) / sum(weight), 0 FROM w
+  UNION ALL
+  SELECT f.step + 1, CAST(sum(w.source_size) - sum(CASE WHEN w.most <= w.weight * f.level THEN w.most ELSE 0 END) AS DOUBLE) / sum(CASE WHEN w.most <= w.weight * f.level THEN 0 ELSE w.weight END),
+    CAST(sum(CASE WHEN w.most <= w.weight * f.level THEN 1 ELSE 0 END) AS INTEGER)
+  FROM fill f, w GROUP BY f.step, f.level, f.held
+  HAVING sum(CASE WHEN w.most <= w.weight * f.level THEN 1 ELSE 0 END) <> f.held AND sum(CASE WHEN w.most <= w.weight * f.level THEN 0 ELSE w.weight END) > 0
+), targets AS (
+  SELECT source, source_size, lean, least(CAST(most AS DOUBLE), weight * (SELECT level FROM fill ORDER BY step DESC LIMIT 1)) AS target FROM w
+), placed AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.lean, floor(t.target / greatest(t.source_size, 1)) AS whole,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS came
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), shares AS (
+  SELECT *, least(CASE WHEN target > 0 THEN came / target ELSE 0.0 END, 1.0) AS share, greatest(0, least(size, floor(target) - whole * source_size - came)) AS part FROM placed
+)
+SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS taken,
+  CASE WHEN lean = 0 THEN share ELSE 2 * share / (1 + lean + sqrt(greatest(0.0, (1 + lean) * (1 + lean) - 4 * lean * share))) END AS position
+FROM shares
+"""
