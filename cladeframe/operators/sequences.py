@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean_sequence, stop_count
 
@@ -46,20 +50,50 @@ def gc3(seq: Column, frame: int) -> Column:
     return F.round(100.0 * _n(thirds, "GC") / F.nullif(F.length(thirds), F.lit(0)), 2)
 
 
-def pair_counts(df: DataFrame, group: str, rid: str, seq: str) -> DataFrame:
-    """(group, i, j, sites, same, ts, tv) for i < j within a group, from one pass over each pair's aligned columns.
-
-    Groups are alignment groups of bounded size (a report's cap); within one, all pairs are what is asked for.
-    """
-    bases = F.split(F.col(seq), "")
-    a = df.select(F.col(group), F.col(rid).alias("i"), bases.alias("_a"))
-    b = df.select(F.col(group), F.col(rid).alias("j"), bases.alias("_b"))
-    pairs = a.join(b, group).where("i < j")
-    ok = "ACGT"
-    both = F.zip_with("_a", "_b", lambda x, y: F.when(x.isin(*ok) & y.isin(*ok), F.when(x == y, 0).when(x.isin("A", "G") == y.isin("A", "G"), 1).otherwise(2)))
-    pairs = pairs.select(group, "i", "j", F.filter(both, lambda x: x.isNotNull()).alias("_x"))
-    count = lambda v: F.size("_x") - F.size(F.array_remove("_x", v))
-    return pairs.select(group, "i", "j", F.size("_x").alias("sites"), count(0).alias("same"), count(1).alias("ts"), count(2).alias("tv"))
+#: Rows of a block: pairs are counted between two blocks at a time, so that a group of any size is many small tasks.
+BLOCK = 256
+
+
+def _block_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sites, same, transitions) of all rows of x with all rows of y; rows are bases 0 to 3 (A, C, G, T) or 4."""
+    of = lambda m, *codes: np.isin(m, codes).astype(np.float32)
+    same = sum(of(x, k) @ of(y, k).T for k in range(4))
+    kind = of(x, 0, 2) @ of(y, 0, 2).T + of(x, 1, 3) @ of(y, 1, 3).T
+    sites = of(x, 0, 1, 2, 3) @ of(y, 0, 1, 2, 3).T
+    return sites.astype(np.int64), same.astype(np.int64), (kind - same).astype(np.int64)
+
+
+def pair_counts(df: DataFrame, group: str, rid: str, seq: str, block: int = BLOCK) -> DataFrame:
+    """(group, i, j, sites, same, ts, tv) for i < j within a group, from each pair's aligned columns.
+
+    All pairs of a group are what is asked for. Its rows are dealt into blocks, and each pair of blocks is counted by
+    products of small matrices. Rows of a null group or with a null sequence have no pairs."""
+    own = df.where(F.col(group).isNotNull() & F.col(seq).isNotNull()).select(F.col(group).alias("g"), F.col(rid).alias("r"), F.upper(F.col(seq)).alias("s"))
+    parts = own.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = own.join(parts, "g").withColumn("b", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("g", F.least("b", "other").alias("lo"), F.greatest("b", "other").alias("hi"), "b", "r", "s")
+    names = [group, "i", "j", "sites", "same", "ts", "tv"]
+    kinds = [df.schema[group].dataType.simpleString(), *[df.schema[rid].dataType.simpleString()] * 2, *["int"] * 4]
+    code = np.full(256, 4, np.uint8)
+    code[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+
+    def count(t: pa.Table) -> pa.Table:
+        rows, at = t.column("s").to_pylist(), np.array(t.column("b").to_pylist())
+        bases = np.full((len(rows), max(map(len, rows))), 4, np.uint8)
+        for k, text in enumerate(rows):
+            bases[k, : len(text)] = code[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        ids, lo, hi = np.array(t.column("r").to_pylist()), t.column("lo")[0].as_py(), t.column("hi")[0].as_py()
+        a, b = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+        sites, same, ts = _block_counts(bases[a], bases[b])
+        x, y = np.nonzero(ids[a][:, None] < ids[b] if lo == hi else np.ones((len(a), len(b)), bool))
+        i, j = ids[a][x], ids[b][y]
+        n = [m[x, y].astype(np.int32) for m in (sites, same, ts)]
+        columns = [[t.column("g")[0].as_py()] * len(x), np.minimum(i, j), np.maximum(i, j), *n, n[0] - n[1] - n[2]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, to_arrow)], names=names)
+
+    shape = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    to_arrow = [f.type for f in to_arrow_schema(StructType.fromDDL(shape))]
+    return dealt.groupBy("g", "lo", "hi").applyInArrow(count, shape)
 
 
 def distance(model: str, least_sites: int = 100) -> Column:

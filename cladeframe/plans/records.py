@@ -1,4 +1,8 @@
-"""A record-shaped view of the driver's tables: barcode sequences grown from part, supplier, nation and region."""
+"""Record-shaped views of the driver's tables: barcode sequences grown from part, supplier, nation and region.
+
+`records` has a row per line item, with raw sequences; `specimens` a row per supplier, with aligned ones: pair reports
+ask for all pairs, which a table of that size allows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,19 @@ def _bases(key: str, alphabet: str) -> str:
     return f"translate(md5({key}), '0123456789abcdef', {alphabet})"
 
 
-def record_sql(where: str = "true", rid: str = _NUMBER) -> str:
+_LINES = "l_partkey AS pk, l_suppkey AS sk, l_returnflag AS rf FROM lineitem"
+_RAW = """CASE WHEN rid % 97 = 0 THEN concat(substr(m, 1, 30), 'TAATTAATTAA', substr(m, 42))
+           WHEN rid % 7 = 0 THEN substr(m, 1, 600) WHEN rid % 11 = 0 THEN substr(m, 21)
+           WHEN rid % 31 = 0 THEN concat('NNN', substr(m, 1, 200), 'NRY', substr(m, 204)) ELSE m END"""
+_ALIGNED = """CASE WHEN rid % 7 = 0 THEN substr(m, 1, 600) WHEN rid % 11 = 0 THEN concat(repeat('-', 20), substr(m, 21))
+           WHEN rid % 31 = 0 THEN concat(substr(m, 1, 100), 'NRY', substr(m, 104)) ELSE m END"""
+
+
+def specimen_sql() -> str:
+    return record_sql("true", "CAST(s_suppkey AS BIGINT) AS rid", "s_suppkey AS pk, s_suppkey AS sk, CASE WHEN s_suppkey % 3 = 0 THEN 'R' ELSE 'N' END AS rf FROM supplier", _ALIGNED, "WHEN rid % 29 = 5 THEN 'Genusb epithetb'")
+
+
+def record_sql(where: str = "true", rid: str = _NUMBER, base: str = _LINES, nuc: str = _RAW, misnamed: str = "") -> str:
     """One text for Spark and DuckDB. Row ids follow a total order of lineitem's columns; `rid` names a column that has
     them already."""
     part = lambda pre, key, n, al: ", ".join(_bases(f"concat('{pre}', CAST({key} AS VARCHAR(20)), '{c}')", al) for c in n)
@@ -23,8 +39,7 @@ def record_sql(where: str = "true", rid: str = _NUMBER) -> str:
     common = ", ".join(_bases(f"'x{i}'", al) for i in range(10))
     return f"""
     WITH base AS (
-      SELECT {rid},
-             l_partkey AS pk, l_suppkey AS sk, l_returnflag AS rf FROM lineitem),
+      SELECT {rid}, {base}),
     j AS (
       SELECT rid, pk, sk, rf, pk % 12 AS spk, CASE WHEN p_size % 5 = 0 THEN '16S' ELSE 'COI-5P' END AS marker_code, n_nationkey, n_name, r_name
       FROM base JOIN part ON p_partkey = pk JOIN supplier ON s_suppkey = sk JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
@@ -36,28 +51,47 @@ def record_sql(where: str = "true", rid: str = _NUMBER) -> str:
     SELECT rid, concat('TST', CAST(pk AS VARCHAR(20)), '-', CAST(sk % 30 AS VARCHAR(20))) AS processid, marker_code,
       CASE WHEN rf = 'R' THEN NULL ELSE concat('BIN:', CAST(spk AS VARCHAR(20))) END AS bin_uri,
       concat('Family', CAST(pk % 2 AS VARCHAR(20))) AS family, concat('Genus', chr(CAST(97 + pk % 4 AS INT))) AS genus,
-      CASE WHEN rid % 13 = 0 THEN NULL WHEN spk = 11 THEN concat('Genus', chr(CAST(97 + pk % 4 AS INT)), ' sp.')
+      CASE WHEN rid % 13 = 0 THEN NULL {misnamed} WHEN spk = 11 THEN concat('Genus', chr(CAST(97 + pk % 4 AS INT)), ' sp.')
            ELSE concat('Genus', chr(CAST(97 + pk % 4 AS INT)), ' epithet', chr(CAST(97 + spk AS INT))) END AS species,
       n_name AS country, r_name AS region, concat('[', CAST(n_nationkey * 3 - 40 AS VARCHAR(20)), '.5, ', CAST(n_nationkey * 7 - 90 AS VARCHAR(20)), '.25]') AS coord,
-      CASE WHEN rid % 97 = 0 THEN concat(substr(m, 1, 30), 'TAATTAATTAA', substr(m, 42))
-           WHEN rid % 7 = 0 THEN substr(m, 1, 600) WHEN rid % 11 = 0 THEN substr(m, 21)
-           WHEN rid % 31 = 0 THEN concat('NNN', substr(m, 1, 200), 'NRY', substr(m, 204)) ELSE m END AS nuc
+      {nuc} AS nuc
     FROM mut"""
 
 
 TABLES = ("lineitem", "part", "supplier", "nation", "region")
 
 
-def records(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFrame:
-    text = record_sql(where, "rid")
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    # Thin rows are numbered and spread over all cores before sequences make each some ten times as wide.
-    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    lines = numbered(tables["lineitem"].select(*ORDER), list(ORDER), "rid").select("rid", "l_partkey", "l_suppkey", "l_returnflag")
-    tables["lineitem"] = lines.repartition(spread, "rid")
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _view(spark: SparkSession, sf_dir: str, name: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     for t, df in tables.items():
         df.createOrReplaceTempView(f"_rv_{t}")
     for t in TABLES:
         text = text.replace(f"FROM {t}", f"FROM _rv_{t}").replace(f"JOIN {t} ", f"JOIN _rv_{t} ")
-    # Written once: the sequences' expressions, inlined where they are used again, outgrow what Spark compiles.
-    return materialize(spark.sql(text), "records")
+    # Written once a session: the sequences' expressions, inlined where they are used again, outgrow what Spark compiles.
+    # As a table of files, each query reads only the columns that it names.
+    made = _made[spark.sparkContext.applicationId, sf_dir, name] = materialize(spark.sql(text), name)
+    return made
+
+
+def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Thin rows over all cores, before sequences make each some ten times as wide."""
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if made := _made.get((spark.sparkContext.applicationId, sf_dir, "records")):
+        return made
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    lines = numbered(tables["lineitem"].select(*ORDER), list(ORDER), "rid").select("rid", "l_partkey", "l_suppkey", "l_returnflag")
+    tables["lineitem"] = _spread(spark, lines, "rid")
+    return _view(spark, sf_dir, "records", record_sql("true", "rid"), tables)
+
+
+def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    if made := _made.get((spark.sparkContext.applicationId, sf_dir, "specimens")):
+        return made
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    tables["supplier"] = _spread(spark, tables["supplier"], "s_suppkey")
+    return _view(spark, sf_dir, "specimens", specimen_sql(), tables)

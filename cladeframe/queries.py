@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import reports, sequences
+from .operators import ingest, reports, sequences
 from .operators.search import Condition as C
 from .operators.search import Group, page, search, suggest, text_predicate, text_query
 from .plans.records import record_sql, records
@@ -153,10 +153,12 @@ d AS (SELECT 'same' AS op, old_id, new_id FROM x WHERE old_id IS NOT NULL AND ne
 SELECT CASE WHEN old_id IS NULL THEN 'new' WHEN new_id IS NULL THEN 'gone' ELSE 'chg' END, old_id, new_id FROM l FULL JOIN r USING (p, q, j)) """
 
 
+_LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 def _versions(spark, sf):
-    li = read(spark, sf, "lineitem")
-    rid = "CAST(ROW_NUMBER() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS BIGINT) AS id"
-    o = li.selectExpr("l_orderkey", "l_linenumber", "md5(concat(l_partkey, '|', l_suppkey, '|', cast(l_quantity as int))) as h", rid)
+    lines = ingest.numbered(read(spark, sf, "lineitem").select(*_LINE_ORDER), _LINE_ORDER, "id")
+    o = lines.selectExpr("l_orderkey", "l_linenumber", "md5(concat(l_partkey, '|', l_suppkey, '|', cast(l_quantity as int))) as h", "id")
     new = o.where("id % 19 <> 0").withColumn("h", F.expr("case when id % 23 = 0 then 'changed' else h end"))
     return o.where("id % 17 <> 0"), new
 

@@ -1,7 +1,7 @@
 """Queries of the sequence operators over the record view, and the SQL that says the same.
 
-Pair reports are made of the SAMPLE longest named records of each species and marker, as the operator for such samples
-chooses them from the whole table.
+Pair reports are made of all pairs of the aligned specimens of a marker. One query is the operator that chooses the
+longest records of each name, for who asks for a sample.
 """
 
 from __future__ import annotations
@@ -12,28 +12,32 @@ from .functions import names as N
 from .functions import text as T
 from .operators import alignment, distances, diversity, graph, identify, ingest, reports, sequences, trees
 from .plans.materialize import materialize
-from .plans.records import record_sql, records
+from .plans.records import record_sql, records, specimen_sql, specimens
 from .queries import _DIFF, _MATCH, _REC, TERMS, _matches, fold, query, read
 from .streaming import feeds
 
 SAMPLE = 4
-_SAMPLE = f"""{_REC}, r AS (SELECT *, coalesce(bin_uri, '') AS bin FROM rec WHERE species IS NOT NULL QUALIFY row_number() OVER (PARTITION BY marker_code, species ORDER BY length(nuc) DESC, rid) <= {SAMPLE})"""
-_PAIRS = f"""{_SAMPLE}, p AS (SELECT a.marker_code AS marker_code, a.rid AS i, b.rid AS j, unnest(range(1, least(length(a.nuc), length(b.nuc)) + 1)) AS k, a.nuc AS x, b.nuc AS y FROM r a JOIN r b ON a.marker_code = b.marker_code AND a.rid < b.rid),
+_SPECIMENS = f"""WITH rec AS ({specimen_sql()}), r AS (SELECT *, coalesce(bin_uri, '') AS bin FROM rec)"""
+_PAIRS = f"""{_SPECIMENS}, p AS (SELECT a.marker_code AS marker_code, a.rid AS i, b.rid AS j, unnest(range(1, least(length(a.nuc), length(b.nuc)) + 1)) AS k, a.nuc AS x, b.nuc AS y FROM r a JOIN r b ON a.marker_code = b.marker_code AND a.rid < b.rid),
 q AS (SELECT marker_code, i, j, substr(x, k::INT, 1) AS x, substr(y, k::INT, 1) AS y FROM p),
 c AS (SELECT marker_code, i, j, count(*) AS sites, sum((x = y)::INT) AS same, sum((x <> y AND (x IN ('A', 'G')) = (y IN ('A', 'G')))::INT) AS ts, sum((x <> y AND (x IN ('A', 'G')) <> (y IN ('A', 'G')))::INT) AS tv
 FROM q WHERE x IN ('A', 'C', 'G', 'T') AND y IN ('A', 'C', 'G', 'T') GROUP BY ALL)"""
 
 
-def _sample(spark, sf):
-    named = records(spark, sf).where("species is not null").withColumn("bin", F.coalesce("bin_uri", F.lit("")))
-    return materialize(sequences.sample_per_name(named, ["marker_code", "species"], "nuc", "rid", SAMPLE), "sample")
+def _specimens(spark, sf):
+    return specimens(spark, sf).withColumn("bin", F.coalesce("bin_uri", F.lit("")))
 
 
 def _pairs(spark, sf):
-    r = _sample(spark, sf)
+    r = _specimens(spark, sf)
     return r, materialize(sequences.pair_counts(r, "marker_code", "rid", "nuc"), "pairs")
 
 
+@query(f"{_REC} SELECT marker_code, species, rid FROM rec WHERE species IS NOT NULL QUALIFY row_number() OVER (PARTITION BY marker_code, species ORDER BY length(nuc) DESC, rid) <= {SAMPLE}")
+def sampled_per_name(spark, sf):
+    return sequences.sample_per_name(records(spark, sf).where("species is not null"), ["marker_code", "species"], "nuc", "rid", SAMPLE).select("marker_code", "species", "rid")
+
+
 @query(f"""{_PAIRS}, d AS (SELECT *, ts::DOUBLE / sites AS p, tv::DOUBLE / sites AS q FROM c), e AS (SELECT *, p + q AS d0,
 CASE WHEN 1 - 4 * (p + q) / 3 > 0 THEN -0.75 * ln(1 - 4 * (p + q) / 3) END AS d1, CASE WHEN 1 - 2 * p - q > 0 AND 1 - 2 * q > 0 THEN -0.5 * ln(1 - 2 * p - q) - 0.25 * ln(1 - 2 * q) END AS d2 FROM d WHERE sites >= 100)
 SELECT marker_code, i, j, sites, same, ts, tv, round(CASE WHEN d0 < 1e-7 THEN 0 ELSE d0 END, 6) AS d_p, round(CASE WHEN abs(d1) < 1e-7 THEN 0 WHEN d1 <= 1 THEN d1 END, 6) AS d_jc, round(CASE WHEN abs(d2) < 1e-7 THEN 0 WHEN d2 <= 1 THEN d2 END, 6) AS d_k2p FROM e""")
@@ -56,7 +60,7 @@ def _rounded(df, *columns):
 
 
 @query(_D + """, y AS (SELECT a.species AS species, b.species AS o, w.j AS j, w.i AS i, d FROM w JOIN r a ON a.rid = i JOIN r b ON b.rid = j),
-n AS (SELECT species, count(*) AS n FROM r GROUP BY species), s AS (SELECT species, max(d) FILTER (WHERE species = o) AS max_intra, avg(d) FILTER (WHERE species = o AND i < j) AS mean_intra FROM y GROUP BY species),
+n AS (SELECT species, count(*) AS n FROM r WHERE species IS NOT NULL GROUP BY species), s AS (SELECT species, max(d) FILTER (WHERE species = o) AS max_intra, avg(d) FILTER (WHERE species = o AND i < j) AS mean_intra FROM y GROUP BY species),
 f AS (SELECT species, d AS nn, o AS nn_species, j AS nn_id FROM y WHERE species <> o QUALIFY row_number() OVER (PARTITION BY species ORDER BY d, j) = 1)
 SELECT n.species, n.n, round(max_intra, 6) AS max_intra, round(mean_intra, 6) AS mean_intra, round(nn, 6) AS nn, nn_species, nn_id FROM n LEFT JOIN s USING (species) LEFT JOIN f USING (species)""")
 def barcode_gap(spark, sf):
@@ -64,7 +68,7 @@ def barcode_gap(spark, sf):
     return _rounded(distances.barcode_gap(d, r), "max_intra", "mean_intra", "nn")
 
 
-@query(_D + """, y AS (SELECT CASE WHEN a.species = b.species THEN 'species' WHEN a.genus = b.genus THEN 'genus' WHEN a.family = b.family THEN 'family' END AS level, d FROM d JOIN r a ON a.rid = i JOIN r b ON b.rid = j)
+@query(_D + """, y AS (SELECT CASE WHEN a.species = b.species THEN 'species' WHEN a.species <> b.species AND a.genus = b.genus THEN 'genus' WHEN a.genus <> b.genus AND a.family = b.family THEN 'family' END AS level, d FROM d JOIN r a ON a.rid = i JOIN r b ON b.rid = j)
 SELECT level, count(*) AS pairs, round(avg(d), 6) AS mean, round(min(d), 6) AS least, round(max(d), 6) AS greatest FROM y WHERE level IS NOT NULL GROUP BY level""")
 def distance_summary(spark, sf):
     r, d = _distances(spark, sf)
@@ -147,7 +151,7 @@ def rooted_trees(spark, sf):
 
 @query()
 def alignment_groups(spark, sf):
-    return _rounded(alignment.align_groups(_sample(spark, sf), "rid", "nuc"), "identity")
+    return _rounded(alignment.align_groups(records(spark, sf), "rid", "nuc"), "identity")
 
 
 @query(f"""{_REC}, e0 AS (SELECT coalesce(species, '') AS species, regexp_replace(nuc, '^N+|N+$', '', 'g') AS s FROM rec), e AS (SELECT species, s, count(*) AS c FROM e0 WHERE length(s) >= 50 AND NOT regexp_matches(s, '[^ACGT]') GROUP BY ALL),
@@ -159,7 +163,7 @@ def haplotypes_by_species(spark, sf):
     return diversity.haplotypes(records(spark, sf).select("species", T.clean_sequence(F.col("nuc")).alias("clean")))
 
 
-_SITES = f"""{_REC}, a AS (SELECT species, rid, nuc FROM rec WHERE species IS NOT NULL AND marker_code = 'COI-5P' AND length(nuc) = 640), b AS (SELECT species, k, substr(nuc, k::INT, 1) AS b FROM (SELECT *, unnest(range(1, 641)) AS k FROM a)),
+_SITES = f"""WITH rec AS ({specimen_sql()}), a AS (SELECT species, rid, nuc FROM rec WHERE species IS NOT NULL AND marker_code = 'COI-5P'), b AS (SELECT species, k, substr(nuc, k::INT, 1) AS b FROM (SELECT *, unnest(range(1, 641)) AS k FROM a)),
 t AS (SELECT species, count(*) AS n FROM a GROUP BY species), x AS (SELECT species, k, b, count(*) AS c FROM b WHERE b IN ('A', 'C', 'G', 'T') GROUP BY ALL), y AS (SELECT species, k, sum(c) AS m, count(*) AS st, sum(c * c) AS sq FROM x GROUP BY ALL),
 s AS (SELECT species, n, count(*) AS sites, count(*) FILTER (WHERE st > 1) AS segregating, sum(n * n - sq)::DOUBLE / (n * (n - 1)) AS k FROM y JOIN t USING (species) WHERE m = n AND n > 1 GROUP BY species, n),
 h AS (SELECT *, list_sum(list_transform(range(1, n), lambda i: 1.0::DOUBLE / i)) AS a1, list_sum(list_transform(range(1, n), lambda i: 1.0::DOUBLE / (i * i))) AS a2, n::DOUBLE AS f FROM s),
@@ -172,7 +176,7 @@ def nucleotide_diversity_tajima(spark, sf):
 
 
 def _site_counts(spark, sf):
-    return diversity.segregating_sites(records(spark, sf).where("species is not null and marker_code = 'COI-5P' and length(nuc) = 640"), "species", "nuc").where("n > 1")
+    return diversity.segregating_sites(specimens(spark, sf).where("species is not null and marker_code = 'COI-5P'"), "species", "nuc").where("n > 1")
 
 
 @query(_SITES + """, t1 AS (SELECT species, n, f, CASE WHEN n >= 4 AND segregating > 0 THEN round((k - segregating / a1) / sqrt(e1 * segregating + e2 * segregating * (segregating - 1)), 6) END AS d, sqrt(e2) AS r,
