@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import normalize_text
 from ..functions.text import null_if_blank
 from ..plans.materialize import materialize
+from .reports import change_rate, snapshot_diff
 
 
 def classify_lines(lines: DataFrame, places: dict[str, int], sequence: str, line: str = "value") -> DataFrame:
@@ -61,6 +62,47 @@ def snapshot_apply(old: DataFrame, new: DataFrame, diff: DataFrame, rid: str, li
     return kept.unionByName(changed).unionByName(numbered(added, [line], rid, top).select(rid, *columns))
 
 
+class Refused(ValueError):
+    """An update that must not be published; nothing was changed."""
+
+
+def table_digest(df: DataFrame, h: str = "h") -> tuple[int, int]:
+    """(rows, sum of their hashes): equal for tables with the same rows in any order, copies counted."""
+    part = F.conv(F.substr(F.sha2(F.col(h), 256), F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    rows, total = df.agg(F.count("*"), F.sum(part)).first()
+    return rows, int(total or 0)
+
+
+def update(new: DataFrame, root: str, key: list[str], rid: str = "id", most: float = 0.10, force: bool = False) -> tuple[int, dict[str, int]]:
+    """Brings the table under root to the rows of `new`, as a new version: (its number, rows by what became of them).
+
+    Unchanged and changed rows keep their ids. Without a version yet, all rows are new. Refused are an empty `new`, one
+    that would change over `most` of the old rows (unless forced), and a result whose rows are not those of `new`; no row
+    that changed gives the version there is. `h` in the stored table is each row's hash, and `rid` its id."""
+    spark = new.sparkSession
+    columns = [c for c in new.columns if c not in (rid, "h")]
+    lines = numbered(new.select(*columns).withColumn("h", row_hash(columns)), [*key, "h"], "line_")
+    lines = materialize(lines, "incoming")
+    wanted = table_digest(lines)
+    if not wanted[0]:
+        raise Refused("no rows")
+    now = current_version(spark, root)
+    if now is None:
+        first = lines.withColumnRenamed("line_", rid)
+        return publish(first, root, wanted[0]), {"new": wanted[0]}
+    old = spark.read.parquet(now["path"])
+    diff = materialize(snapshot_diff(old, lines, key, rid, "line_"), "diff")
+    ops = {r["op"]: r["count"] for r in diff.groupBy("op").count().collect()}
+    if set(ops) <= {"same"}:
+        return now["version"], ops
+    if not force and change_rate(diff, most).first()["refused"]:
+        raise Refused(f"over {most:.0%} of the rows would change: {ops}")
+    result = materialize(snapshot_apply(old.select(rid, *columns, "h"), lines.select(*columns, "h", "line_"), diff, rid, "line_"), "updated")
+    if table_digest(result) != wanted:
+        raise Refused("the updated table is not the new one")
+    return publish(result, root, wanted[0]), ops
+
+
 def publish(df: DataFrame, root: str, expected: int | None = None) -> int:
     """Writes df as the next version under root and returns its number. Readers see it only once its line is in the list
     of versions, which is appended after the rows are counted; a write that stops half-way is never read."""

@@ -238,10 +238,11 @@ def taxonomic_distinctness(spark, sf):
 
 
 def _reference(spark, sf):
-    """Queries (ids divisible by 100) and the index's entries: one representative of each BIN."""
-    r = materialize(records(spark, sf).withColumn("clean", T.clean_sequence(F.col("nuc"))).withColumn("bin", F.col("bin_uri")), "cleaned")
-    entries = materialize(identify.representatives(r.where("bin is not null and marker_code = 'COI-5P'")), "entries")
-    return r.where("rid % 100 = 0").select("rid", "clean"), entries
+    """Queries (ids divisible by 100), the index's entries, and the records they stand for."""
+    r = materialize(records(spark, sf).withColumn("clean", T.clean_sequence(F.col("nuc"))).withColumn("bin", F.col("bin_uri")).where("marker_code = 'COI-5P' or rid % 100 = 0"), "cleaned")
+    own = r.where("marker_code = 'COI-5P'")
+    entries = materialize(identify.representatives(own, names=("species", "genus", "family")), "entries")
+    return r.where("rid % 100 = 0").select("rid", "clean"), entries, own
 
 
 _KMERS = "SELECT rid, substr(s, p::INT, 12) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 10)) AS p FROM {})"
@@ -249,8 +250,9 @@ _CODE = " + ".join(f"(strpos('ACGT', substr(kmer, {k}, 1)) - 1) * {4 ** (12 - k)
 _CHOSEN = f"NOT regexp_matches(kmer, '[^ACGT]') AND ((({_CODE})::BIGINT * 2654435761) % 4294967296) < {(1 << 32) // 8}"
 
 
-@query(f"""{_REC}, c AS (SELECT rid, bin_uri AS bin, marker_code, regexp_replace(nuc, '^N+|N+$', '', 'g') AS s FROM rec),
-e AS (SELECT rid, s FROM c WHERE bin IS NOT NULL AND marker_code = 'COI-5P' AND length(s) >= 100 QUALIFY row_number() OVER (PARTITION BY bin ORDER BY contains(s, 'N'), abs(length(s) - 658), rid) = 1),
+@query(f"""{_REC}, c AS (SELECT rid, bin_uri AS bin, marker_code, species, genus, family, regexp_replace(nuc, '^N+|N+$', '', 'g') AS s FROM rec),
+e AS (SELECT rid, s FROM c WHERE bin IS NOT NULL AND marker_code = 'COI-5P' AND length(s) >= 100 QUALIFY row_number() OVER (PARTITION BY bin ORDER BY contains(s, 'N'), abs(length(s) - 658), rid) = 1
+  UNION ALL SELECT min(rid), s FROM c WHERE bin IS NULL AND marker_code = 'COI-5P' AND length(s) >= 100 GROUP BY s, species, genus, family),
 q AS (SELECT rid, s FROM c WHERE rid % 100 = 0), qr AS (SELECT rid, reverse(translate(s, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) AS s FROM q),
 ke AS (SELECT DISTINCT rid, kmer FROM ({_KMERS.format('e')}) WHERE {_CHOSEN}),
 kq AS (SELECT DISTINCT rid, '+' AS strand, kmer FROM ({_KMERS.format('q')}) WHERE {_CHOSEN} UNION ALL SELECT DISTINCT rid, '-', kmer FROM ({_KMERS.format('qr')}) WHERE {_CHOSEN}),
@@ -258,14 +260,14 @@ h AS (SELECT kq.rid AS query, strand, ke.rid AS entry, count(*) AS shared FROM k
 b AS (SELECT query, strand FROM h GROUP BY query, strand QUALIFY row_number() OVER (PARTITION BY query ORDER BY max(shared) DESC, strand) = 1)
 SELECT query, strand, entry, shared FROM h JOIN b USING (query, strand) WHERE shared >= 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, entry) <= 40""")
 def kmer_candidates(spark, sf):
-    queries, entries = _reference(spark, sf)
+    queries, entries, _ = _reference(spark, sf)
     return identify.candidates(queries, identify.kmers(entries, "rid", "clean"))
 
 
 @query()
 def identify_records(spark, sf):
-    queries, entries = _reference(spark, sf)
-    return _rounded(identify.identify(queries, entries, identify.kmers(entries, "rid", "clean")), "best")
+    queries, entries, own = _reference(spark, sf)
+    return _rounded(identify.identify(queries, entries, identify.kmers(entries, "rid", "clean"), own), "best")
 
 
 _LINES = """SELECT rid, CASE WHEN rid % 50 = 3 THEN concat(processid, chr(9), 'short') WHEN rid % 50 = 9 THEN '  ' ELSE concat(processid, chr(9), coalesce(species, 'None'), chr(9), ' ', country, ' ', chr(9),

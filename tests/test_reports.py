@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cladeframe.operators import lookups, quality, sequences, shape, terms
+from cladeframe.operators import identify, ingest, lookups, quality, sequences, shape, terms
 
 STOPS = {1: {"TAA", "TAG", "TGA"}, 2: {"TAA", "TAG", "AGA", "AGG"}, 5: {"TAA", "TAG"}, 11: {"TAA", "TAG", "TGA"}}
 
@@ -151,3 +151,55 @@ def test_qualifiers(spark):
     df = spark.createDataFrame(rows, "id int, f array<struct<key:string,quals:array<struct<name:string,value:string>>>>")
     got = {r["id"]: (r["x"]["source"], r["x"]["marker"]) for r in df.select("id", shape.qualifiers(F.col("f")).alias("x")).collect()}
     assert got == {1: ({"country": "Peru"}, "COI"), 2: ({}, "16S"), 3: ({}, "")}
+
+
+def test_update_is_guarded(spark, tmp_path):
+    root = f"file://{tmp_path}/t"
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v string")
+    rows = [(f"k{i}", f"v{i % 7}") for i in range(100)] + [("k1", "v1")]
+    assert ingest.update(frame(rows), root, ["k"]) == (1, {"new": 101})
+    assert ingest.update(frame(rows[::-1]), root, ["k"]) == (1, {"same": 101})
+    with pytest.raises(ingest.Refused):
+        ingest.update(frame(rows[:50]), root, ["k"])
+    with pytest.raises(ingest.Refused):
+        ingest.update(frame([]), root, ["k"])
+    before = {r["id"]: (r["k"], r["v"]) for r in spark.read.parquet(ingest.current_version(spark, root)["path"]).collect()}
+    changed = [("k3", "other"), *[r for r in rows if r[0] not in ("k3", "k9")], ("fresh", "x")]
+    assert ingest.update(frame(changed), root, ["k"]) == (2, {"same": 99, "chg": 1, "gone": 1, "new": 1})
+    after = {r["id"]: (r["k"], r["v"]) for r in spark.read.parquet(ingest.current_version(spark, root)["path"]).collect()}
+    assert sorted(after.values()) == sorted(changed)
+    assert all(before[i][0] == k for i, (k, v) in after.items() if k != "fresh") and max(after) == max(before) + 1
+    assert ingest.update(frame(rows[:50]), root, ["k"], force=True)[0] == 3
+
+
+def test_stored_index_and_members(spark, tmp_path):
+    rnd = random.Random(8)
+    root = f"file://{tmp_path}/i"
+    bases = ["".join(rnd.choice("ACGT") for _ in range(660)) for _ in range(4)]
+
+    def near(s, n):
+        t = list(s)
+        for p in rnd.sample(range(len(t)), n):
+            t[p] = rnd.choice([b for b in "ACGT" if b != t[p]])
+        return "".join(t)
+
+    rows = []
+    for b, base in enumerate(bases):
+        for k in range(6):
+            rows.append((100 * b + k, near(base, 3 * k), f"BIN:{b}" if b < 3 else None, "COI-5P", f"G s{b}", "G", "F"))
+    rows += [(900, rows[-1][1], None, "COI-5P", "G s3", "G", "F"), (901, "ACGT", "BIN:0", "COI-5P", "x", "x", "x"), (902, bases[0], "BIN:0", "16S", "x", "x", "x")]
+    df = spark.createDataFrame(rows, "rid long, clean string, bin string, marker_code string, species string, genus string, family string")
+    assert identify.open_index(spark, root, "coi-5p", "v1") is None
+    identify.build_index(df, root, "COI-5P", "v1", ("species", "genus", "family"))
+    assert identify.open_index(spark, root, "COI-5P", "v2") is None and identify.open_index(spark, root, "16S", "v1") is None
+    entries, words = identify.open_index(spark, root, "coi-5p", "v1")
+    held = sorted(r["rid"] for r in entries.collect())
+    assert [r for r in held if r < 300] == [0, 100, 200] and [r for r in held if r >= 300] == [300 + k for k in range(6)]
+    gap = bases[1][:300] + bases[1][330:]  # needs a gap to be laid over
+    queries = spark.createDataFrame([(1, near(bases[0], 12)), (2, gap), (3, "".join(rnd.choice("ACGT") for _ in range(600))), (4, rows[3][1])], "rid long, clean string")
+    got = {r["query"]: (round(r["best"], 3), r["level"], r["taxon"]) for r in identify.identify(queries, entries, words, df.where("marker_code = 'COI-5P'")).collect()}
+    assert got[3] == (0.0, "none", "") and got[4] == (1.0, "species", "G s0")  # record 3 is found as a member of its BIN
+    assert got[2][1:] == ("species", "G s1") and got[2][0] > 0.99
+    assert got[1][1:] == ("species", "G s0")
+    alone = {r["query"]: r["best"] for r in identify.identify(queries, entries, words).collect()}
+    assert alone[4] < 1.0
