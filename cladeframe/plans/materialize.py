@@ -11,11 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where that is unset on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local"):
+        raise RuntimeError(f"spark.checkpoint.dir is unset, and {master} has no folder that all its machines share")
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-cladeframe-")
     return _own[app]
@@ -28,3 +30,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/cladeframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session wrote; results not yet read are lost with them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cladeframe/{spark.sparkContext.applicationId}")
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import get_close_matches
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,22 +13,31 @@ def field_name(header: str) -> str:
     return re.sub(r"\W", "_", header.strip()).lower()
 
 
-def resolve_fields(header: list[str], wanted: list[str], required: list[str]) -> dict:
+def likeness(a: str, b: str) -> float:
+    """0 to 1: the common beginning's share of the longer name, or the names' common pairs of letters (Dice), whichever
+    is more. A name that begins with another is always at least somewhat like it."""
+    longer = max(len(a), len(b), 1)
+    begun = len(commonprefix([a, b]))
+    pairs = [{s[k : k + 2] for k in range(len(s) - 1)} for s in (a, b)]
+    common = 2 * len(pairs[0] & pairs[1]) / max(1, len(pairs[0]) + len(pairs[1]))
+    return max(begun / longer, common, 0.5 if begun == min(len(a), len(b)) > 0 else 0.0)
+
+
+def resolve_fields(header: list[str], wanted: list[str], required: list[str], least: float = 0.5) -> dict:
     """Places of the wanted fields in a header, found by name: {places, missing, missing_required, added, hints}.
 
-    The first of equal headers counts; a hint is the header most like a missing field."""
-    names = [field_name(h) for h in header]
-    places = {w: names.index(field_name(w)) for w in wanted if field_name(w) in names}
-    missing = [w for w in wanted if w not in places]
-    added = sorted(set(names) - {field_name(w) for w in wanted})
-    hints = {}
-    for w in missing:
-        n = field_name(w)
-        prefixed = sorted((a for a in added if a.startswith(n) or n.startswith(a)), key=len)
-        close = prefixed or get_close_matches(n, added, 1, 0.6)
-        if close:
-            hints[w] = close[0]
-    return {"places": places, "missing": missing, "missing_required": [m for m in missing if m in required], "added": added, "hints": hints}
+    The first of equal headers counts; a hint is the unasked header most like a missing field (ties: the shortest)."""
+    at: dict[str, int] = {}
+    for k, h in enumerate(header):
+        at.setdefault(field_name(h), k)
+    key = {w: field_name(w) for w in wanted}
+    missing = [w for w in wanted if key[w] not in at]
+    added = sorted(at.keys() - set(key.values()))
+    ranked = {w: min(((-likeness(key[w], a), len(a), a) for a in added), default=(0.0, 0, "")) for w in missing}
+    return {
+        "places": {w: at[k] for w, k in key.items() if k in at}, "missing": missing, "missing_required": [w for w in missing if w in required],
+        "added": added, "hints": {w: a for w, (score, _, a) in ranked.items() if -score >= least},
+    }
 
 
 def raw_lines(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
