@@ -88,6 +88,28 @@ def shared_barcodes(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return each.groupBy("species_a", "species_b").agg(F.max("kind").alias("kind"), F.min("nn").alias("least"), F.count_distinct("r").alias("records"), F.max("same_bin").alias("shared_bin"))
 
 
+def neighbour_kinds(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(kind, records): for each named record with a named neighbour, whether its nearest are of its species (ok), of its
+    species and another (tie), or only of others (wrong)."""
+    rec = records.withColumn("species", settled(F.col("species"))).where("species is not null").select("rid", "species")
+    x = _named(both_ways(pairs), rec, ["species"])
+    own = F.col("species1") == F.col("species2")
+    near = x.groupBy("i").agg(F.min(F.when(own, F.col("d"))).alias("own"), F.min(F.when(~own, F.col("d"))).alias("other"))
+    kind = F.when(F.col("other").isNull() | (F.col("own") < F.col("other")), "ok").when(F.col("own") == F.col("other"), "tie").otherwise("wrong")
+    return near.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("records"))
+
+
+def species_lineages(pairs: DataFrame, records: DataFrame, within: float = 0.02, least: int = 3) -> DataFrame:
+    """(species, lineages, isolated): groups of a species' records chained by distances under `within`; groups of fewer
+    than `least` records are isolated records."""
+    rec = records.withColumn("species", settled(F.col("species"))).where("species is not null").select("rid", "species")
+    close = _named(pairs.where(F.col("d") < within), rec, ["species"]).where("species1 = species2")
+    groups = components(rec.select(F.col("rid").alias("node")), close.select(F.col("i").alias("a"), F.col("j").alias("b")))
+    sizes = rec.join(groups, F.col("rid") == F.col("node")).groupBy("species", "label").agg(F.count("*").alias("n"))
+    big = F.col("n") >= least
+    return sizes.groupBy("species").agg(F.count_if(big).alias("lineages"), F.sum(F.when(big, 0).otherwise(F.col("n"))).alias("isolated"))
+
+
 def motus(pairs: DataFrame, records: DataFrame, cut: float) -> DataFrame:
     """(rid, motu): single-linkage groups of records nearer than `cut`; a group's name is its least rid."""
     close = pairs.where(F.col("d") < cut).select(F.col("i").alias("a"), F.col("j").alias("b"))

@@ -43,6 +43,18 @@ def length_histogram(df: DataFrame, seq: str, width: int = 25) -> DataFrame:
     return every.join(n, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def length_bars(df: DataFrame, seq: str, width: int = 25, most: int = 60) -> DataFrame:
+    """(from, to, n): as length_histogram, with the width doubled until there are at most about `most` bars."""
+    n = df.groupBy(F.length(seq).alias("len")).agg(F.count("*").alias("n")).where("len is not null")
+    ends = n.agg((F.floor(F.min("len") / width) * width).alias("lo"), (F.floor(F.max("len") / width) * width).alias("hi"))
+    doubled = F.greatest(F.lit(0), F.ceil(F.log2((F.col("hi") - F.col("lo")) / F.lit(float(width * most)))))
+    ends = ends.withColumn("w", (F.pow(F.lit(2), F.coalesce(doubled, F.lit(0))) * width).cast("int"))
+    ends = ends.select((F.floor(F.col("lo") / F.col("w")) * F.col("w")).alias("lo"), "hi", "w")
+    every = ends.select("w", F.explode(F.sequence("lo", "hi", F.col("w").cast("long"))).alias("from"))
+    counts = n.join(F.broadcast(ends)).groupBy((F.floor((F.col("len") - F.col("lo")) / F.col("w")) * F.col("w") + F.col("lo")).alias("from")).agg(F.sum("n").alias("n"))  # one row
+    return every.join(counts, "from", "left").select("from", (F.col("from") + F.col("w") - 1).alias("to"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def gc3(seq: Column, frame: int) -> Column:
     """Percent of G and C among third codon positions with a known base, in a forward frame; null without any."""
     codons = F.regexp_extract_all(F.substr(seq, F.lit(frame + 1)), F.lit("..(.)"), F.lit(1))
@@ -124,6 +136,20 @@ def chao1(df: DataFrame, zone: str, unit: str) -> DataFrame:
     return s.select("*", F.round(richness, 6).alias("chao1"), F.round(cover, 6).alias("coverage"))
 
 
+def chao1_interval(df: DataFrame, zone: str, unit: str, z: float = 1.96) -> DataFrame:
+    """(zone, s, chao1, low, high): richness with its log-normal 95 % interval; without a variance it is s to chao1."""
+    r = chao1(df, zone, unit)
+    n, s, f1, f2 = (F.col(c).cast("double") for c in ("n", "s", "f1", "f2"))
+    k = (n - 1) / n
+    est = s + k * f1 * (f1 - 1) / (2 * (f2 + 1))
+    both = k * f1 * (f1 - 1) / (2 * (f2 + 1)) + k * k * f1 * F.pow(2 * f1 - 1, 2) / (4 * F.pow(f2 + 1, 2)) + k * k * f1 * f1 * f2 * F.pow(f1 - 1, 2) / (4 * F.pow(f2 + 1, 4))
+    once = k * f1 * (f1 - 1) / 2 + k * k * f1 * F.pow(2 * f1 - 1, 2) / 4 - k * k * F.pow(f1, 4) / (4 * est)
+    var, t = F.when(f2 > 0, both).otherwise(once), est - s
+    c = F.exp(z * F.sqrt(F.ln(1 + F.when(var > 0, var) / F.nullif(t * t, F.lit(0.0)))))
+    ok = (t > 0) & (var > 0)
+    return r.select("zone", "s", "chao1", F.round(F.when(ok, s + t / c).otherwise(s), 6).alias("low"), F.round(F.when(ok, s + t * c).otherwise(est), 6).alias("high"))
+
+
 def beta_pairs(df: DataFrame, zone: str, unit: str) -> DataFrame:
     """(zone1, zone2, a, b, c, sorensen, simpson, nestedness): shared and own units of each pair of zones."""
     own = df.where(F.col(unit).isNotNull()).select(F.col(zone).alias("zone"), F.col(unit).alias("u")).distinct()

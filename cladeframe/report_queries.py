@@ -176,3 +176,22 @@ def aligned_distances(spark, sf):
     groups = materialize(alignment.align_groups(fit, "rid", "read").where("group is not null"), "aligned")
     pairs = sequences.pair_counts(groups, "group", "rid", "row").where("sites >= 100")
     return pairs.select("group", "i", "j", "sites", F.round(sequences.distance("p"), 6).alias("d_p"), F.round(sequences.distance("k2p"), 6).alias("d_k2p"))
+
+
+@query(f"""{_REC}, c AS (SELECT country AS zone, processid, count(*) AS c FROM rec GROUP BY ALL),
+s AS (SELECT zone, sum(c)::DOUBLE AS n, count(*) AS s, count(*) FILTER (WHERE c = 1)::DOUBLE AS f1, count(*) FILTER (WHERE c = 2)::DOUBLE AS f2 FROM c GROUP BY zone),
+e AS (SELECT *, (n - 1) / n AS k, s + (n - 1) / n * f1 * (f1 - 1) / (2 * (f2 + 1)) AS est FROM s),
+v AS (SELECT *, est - s AS t, CASE WHEN f2 > 0 THEN k * f1 * (f1 - 1) / (2 * (f2 + 1)) + k * k * f1 * pow(2 * f1 - 1, 2) / (4 * pow(f2 + 1, 2)) + k * k * f1 * f1 * f2 * pow(f1 - 1, 2) / (4 * pow(f2 + 1, 4))
+ELSE k * f1 * (f1 - 1) / 2 + k * k * f1 * pow(2 * f1 - 1, 2) / 4 - k * k * pow(f1, 4) / (4 * est) END AS var FROM e),
+x AS (SELECT *, CASE WHEN t > 0 AND var > 0 THEN exp(1.96 * sqrt(ln(1 + var / (t * t)))) END AS c FROM v)
+SELECT zone, s, round(est, 6) AS chao1, round(CASE WHEN c IS NOT NULL THEN s + t / c ELSE s END, 6)::DOUBLE AS low, round(CASE WHEN c IS NOT NULL THEN s + t * c ELSE est END, 6)::DOUBLE AS high FROM x""")
+def zone_richness_interval(spark, sf):
+    """Of specimens: each species of this view is seen more than twice in each zone."""
+    return sequences.chao1_interval(records(spark, sf), "country", "processid")
+
+
+@query("""WITH n AS (SELECT length(text) AS len FROM documents WHERE text IS NOT NULL), e AS (SELECT min(len) // 25 * 25 AS lo, max(len) // 25 * 25 AS hi FROM n), w AS (SELECT *, (25 * pow(2, greatest(0, ceil(log2((hi - lo) / (25.0::DOUBLE * 60))))))::BIGINT AS w FROM e),
+g AS (SELECT lo // w * w AS lo, hi, w FROM w), c AS (SELECT (len - lo) // w * w + lo AS f, count(*) AS n FROM n, g GROUP BY f)
+SELECT x.f AS "from", x.f + g.w - 1 AS "to", coalesce(c.n, 0) AS n FROM (SELECT unnest(range(lo, hi + 1, w)) AS f FROM g) x CROSS JOIN g LEFT JOIN c ON c.f = x.f""")
+def length_bars(spark, sf):
+    return sequences.length_bars(spark.read.parquet(f"{sf}/documents.parquet"), "text")

@@ -99,6 +99,23 @@ def shared_barcodes(spark, sf):
     return _rounded(distances.shared_barcodes(d, r), "least")
 
 
+@query(_D + """, y AS (SELECT i, d, a.species = b.species AS own FROM w JOIN nm a ON a.rid = i JOIN nm b ON b.rid = j WHERE a.species IS NOT NULL AND b.species IS NOT NULL),
+n AS (SELECT i, min(d) FILTER (WHERE own) AS o, min(d) FILTER (WHERE NOT own) AS x FROM y GROUP BY i)
+SELECT CASE WHEN x IS NULL OR o < x THEN 'ok' WHEN o = x THEN 'tie' ELSE 'wrong' END AS kind, count(*) AS records FROM n GROUP BY kind""")
+def neighbour_kinds(spark, sf):
+    r, d = _distances(spark, sf)
+    return distances.neighbour_kinds(d, r)
+
+
+@query((_D + """, s AS (SELECT rid, species FROM nm WHERE species IS NOT NULL), k AS (SELECT w.i, w.j FROM w JOIN s a ON a.rid = w.i JOIN s b ON b.rid = w.j AND a.species = b.species WHERE w.d < 0.02),
+g AS (SELECT rid AS node, rid AS here FROM s UNION SELECT g.node, k.j FROM g JOIN k ON k.i = g.here), m AS (SELECT node AS rid, min(here) AS label FROM g GROUP BY node),
+z AS (SELECT species, label, count(*) AS n FROM m JOIN s USING (rid) GROUP BY ALL)
+SELECT species, count(*) FILTER (WHERE n >= 3) AS lineages, sum(CASE WHEN n >= 3 THEN 0 ELSE n END)::BIGINT AS isolated FROM z GROUP BY species""").replace("WITH rec", "WITH RECURSIVE rec"))
+def species_lineages(spark, sf):
+    r, d = _distances(spark, sf)
+    return distances.species_lineages(d, r)
+
+
 CUT = 0.03
 _MOTU = (_D + f""", g AS (SELECT rid AS node, rid AS here FROM r UNION SELECT g.node, w.j FROM g JOIN w ON w.i = g.here AND w.d < {CUT}), m AS (SELECT node AS rid, min(here) AS motu FROM g GROUP BY node) """).replace("WITH rec", "WITH RECURSIVE rec", 1)
 
