@@ -294,6 +294,47 @@ def test_winnowing(spark, docs, none):
     assert one["near_next"] == 1.0 and one["edited_sha256"] == hashlib.sha256(b"a b a b").hexdigest()
 
 
+def test_winnowing_likeness(spark, docs):
+    """Both likenesses, from the fingerprints' own hashes (Dice), for every row whose neighbour is known."""
+    df, rows = docs
+    got = pdf(winnowing.fingerprint_report(df))
+    once = {d for d, n in Counter(r[0] for r in rows).items() if n == 1 and d is not None}
+    own = {r["doc_id"]: r for r in got if r["doc_id"] in once}
+    order = sorted({r[0] for r in rows if r[0] is not None}, reverse=True)
+    hashes = lambda text: {x.split(":")[0] for x in text.split(",") if x}
+
+    def dice(a, b):
+        return 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+
+    checked = 0
+    for d, after in zip(order, order[1:]):
+        if d in own:
+            f = hashes(own[d]["fingerprint"])
+            assert abs(own[d]["near_edited"] - dice(f, hashes(own[d]["edited_fingerprint"]))) < 1e-12
+            if after in own:
+                assert abs(own[d]["near_next"] - dice(f, hashes(own[after]["fingerprint"]))) < 1e-12
+                checked += 1
+    assert checked > 30 and any(0 < r["near_edited"] < 1 for r in own.values())
+
+
+def test_very_long_texts(spark):
+    """Beyond the pieces that operators work in: 70,000 words, and one word of 200,000 characters."""
+    rnd = random.Random(11)
+    long = " ".join(f"w{rnd.randrange(500)}" for _ in range(70_000))
+    rows = rows_of([long, long[: len(long) // 2] + " end", "x" * 200_000, "\n".join(["same line here"] * 3000)])
+    df = spark.createDataFrame(rows, SCHEMA)
+    check_groups(pdf(simhash.simhash_groups(df)), rows)
+    got = {r["doc_id"]: r for r in pdf(quality_rules.quality_rules(df))}
+    for r in rows:
+        g = got[r[0]]
+        assert (g["n_words"], g["word_chars"], g["n_symbols"], g["n_dup_lines"], g["n_repeat_words"]) == brute_quality(r[1])
+    prints = {r["doc_id"]: r for r in pdf(winnowing.fingerprint_report(df))}
+    assert prints[0]["n_chars"] == len(long) and prints[0]["near_edited"] > 0.3
+    assert {r["doc_id"]: r["spans"] for r in secrets.secret_report(df).collect()}[0] == ""
+    kept = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
+    assert kept[0] == long and kept[3].count("\n") < 40
+
+
 def test_winnowing_rightmost_minimum(spark):
     rnd = random.Random(4)
     text = " ".join(rnd.choice(["a", "b"]) for _ in range(300))
@@ -644,5 +685,31 @@ def test_chat(spark):
     assert chat.chat_report(df.limit(0)).count() == 0
 
 
-def test_queries_run(spark, sf):
+CONTRACT = {
+    1: "doc_id piece start length ids_crc32 sequence_id offset", 2: "doc_id text", 3: "doc_id fingerprint component_id",
+    4: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    5: "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    6: "doc_id held_out n_tokens n_known train_tokens base_score score", 7: "doc_id size source_size target taken", 8: "doc_id kept",
+    9: "doc_id n_assign n_access n_hex base_sha256 spans", 10: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+}
+
+
+@pytest.mark.parametrize("name", sorted(Q.QUERIES))
+def test_queries_run(spark, sf, name):
+    """Each query over whole tables: the contract's columns, and a row per document, piece or conversation."""
+    got = Q.QUERIES[name](spark, sf)
+    number = int(name[2:].split("_")[0])
+    assert set(CONTRACT[number].split()) <= set(got.columns)
+    rows = pdf(got)
+    if number == 10:
+        own = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+        probe = "</s>[INST] ok [/INST]"
+        want = brute_chat([tuple(r) for r in own] + [(-1, 0, "user", probe), (-1, 1, "assistant", probe)])
+        assert {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in rows} == want and -1 in want
+    else:
+        ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+        assert {r["doc_id"] for r in rows} == ids and (number == 1 or len(rows) == len(ids))
+
+
+def test_all_ten_are_there():
     assert sorted(int(n[2:].split("_")[0]) for n in Q.QUERIES) == list(range(1, 11))
