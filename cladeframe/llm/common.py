@@ -47,16 +47,24 @@ def text_key(value: Column) -> Column:
 HOT_SHARE, HOT_ROWS, SALTS = 1e-3, 2_000, 64
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner", total: int | None = None) -> DataFrame:
+def load_of(right: DataFrame) -> tuple[int, int]:
+    """The sum and the most of n_: how many rows are to be joined, and how many of them share a key."""
+    total, most = right.agg(F.sum("n_"), F.max("n_")).first()
+    return total or 0, most or 0
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, how: str = "inner", load: tuple[int, int] | None = None) -> DataFrame:
     """left joined by shuffle with right, whose keys are unique and whose column n_ says how many rows of left hold them.
 
     Rows of hot keys are dealt SALTS ways by the hash of `by`, and their row of the right side is repeated as often: no
     task gets more than its share of a hot key. The list of hot keys has at most 1 / HOT_SHARE rows, which bounds its
-    broadcast. Keys must not be null.
+    broadcast. Where no key is hot the join is a plain one. Keys must not be null; `load` is load_of(right), if known.
     """
-    if total is None:
-        total = right.agg(F.sum("n_")).first()[0] or 0
-    hot = F.broadcast(right.where(F.col("n_") >= max(HOT_ROWS, total * HOT_SHARE)).select(*keys, F.lit(True).alias("hot_")))
+    total, most = load or load_of(right)
+    limit = max(HOT_ROWS, total * HOT_SHARE)
+    if most < limit:
+        return left.join(right.drop("n_").hint("merge"), keys, how)
+    hot = F.broadcast(right.where(F.col("n_") >= limit).select(*keys, F.lit(True).alias("hot_")))
     dealt = F.when(F.col("hot_"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)
     copies = F.when(F.col("hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     l = left.join(hot, keys, "left").withColumn("salt_", dealt).drop("hot_")

@@ -17,20 +17,28 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours of a hub over several tasks, so a hub is never gathered.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    before, total = None, 2 * now.count()
+
+    def seen(edges: DataFrame):
+        """Edges, sums of their ends (which tell whether anything changed), and the most neighbours of a node."""
+        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        each = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("v") < F.col("u"), F.col("v").cast("decimal(38,0)"))).alias("v"), F.count_if(F.col("v") < F.col("u")).alias("k"))
+        return each.agg(F.sum("n"), F.max("n"), F.sum("v"), F.sum((F.col("u").cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)")).cast("decimal(38,0)"))).first()
+
+    before = seen(now)
     for _ in range(most_rounds):
+        load = (before[0] or 0, before[1] or 0)
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_")).select("u", F.least("u", "m").alias("m"), "n_")
-        large = spread_join(both.where("v > u"), least, ["u"], F.col("v"), total=total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.where("v > u"), least, ["u"], F.col("v"), load=load).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_"))
-        small = spread_join(large, least, ["u"], F.col("v"), total=total).select("u", "v", "m")
+        small = spread_join(large, least, ["u"], F.col("v"), load=load).select("u", "v", "m")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
+        state = seen(now)
         if state == before:
             break
-        before, total = state, 2 * state[0]
+        before = state
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
