@@ -85,7 +85,7 @@ def turn_rows(conversations: DataFrame) -> DataFrame:
 def emit(turns: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
     """The stream: node, segment, loss_at, loss_len, ids (binary, 32 bits each), n_ids, starts (first token's place), and
     n_, how many conversations have the node."""
-    leaves = turns.where("path is not null").select("conv", "path").repartitionByRange("path").sortWithinPartitions("path")
+    leaves = turns.where("path is not null").select("conv", "path").repartitionByRange("path", "conv").sortWithinPartitions("path", "conv")
     ranks = materialize(leaves.select("conv", F.monotonically_increasing_id().alias("rank")), "ranks")
     # A conversation's turns are joined with one row: no key is hot.
     firsts = turns.select("conv", "node").join(ranks, "conv").groupBy("node").agg(F.min("rank").alias("rank"), F.count("*").alias("n_"))
