@@ -168,7 +168,8 @@ def rooted_trees(spark, sf):
 
 @query()
 def alignment_groups(spark, sf):
-    return _rounded(alignment.align_groups(records(spark, sf), "rid", "nuc"), "identity")
+    raw = specimens(spark, sf).select("rid", F.replace("nuc", F.lit("-"), F.lit("")).alias("nuc"))
+    return _rounded(alignment.align_groups(raw, "rid", "nuc"), "identity")
 
 
 @query(f"""{_REC}, e0 AS (SELECT coalesce(species, '') AS species, regexp_replace(nuc, '^N+|N+$', '', 'g') AS s FROM rec), e AS (SELECT species, s, count(*) AS c FROM e0 WHERE length(s) >= 50 AND NOT regexp_matches(s, '[^ACGT]') GROUP BY ALL),
