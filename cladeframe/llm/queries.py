@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, kneser_ney, line_dedup, mixing, packing, quality_rules, secrets, simhash, suffix_tree_lm, winnowing
+from . import chat, infilling, kneser_ney, line_dedup, mixing, packing, postings, quality_rules, secrets, simhash, suffix_tree_lm, winnowing
 from .common import documents
 
 
@@ -52,11 +52,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infilling.infilling_report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_quality_rules, op5_document_fingerprints,
-        op6_lm_scoring, op7_source_mixing, op8_quality_classifier, op9_secret_scan, op10_chat_formatting,
+        op6_lm_scoring, op7_source_mixing, op8_quality_classifier, op9_secret_scan, op10_chat_formatting, op12_benchmark_decontamination, op13_fill_in_middle,
     )
 }
 
@@ -141,3 +149,43 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + part AS BIGINT) AS
   CASE WHEN lean = 0 THEN share ELSE 2 * share / (1 + lean + sqrt(greatest(0.0, (1 + lean) * (1 + lean) - 4 * lean * share))) END AS position
 FROM shares
 """
+
+_TERMS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+ORACLES["op12_benchmark_decontamination"] = rf"""
+WITH docs AS (
+  SELECT doc_id, {_TERMS} AS w FROM documents
+), items AS (
+  SELECT item_id, w, least(len(w), {postings.WIDTH}) AS k FROM (SELECT CAST(item_id AS VARCHAR) AS item_id, {_TERMS} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS words FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM items)
+), places AS (
+  SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS words FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM docs, (SELECT DISTINCT k FROM items))
+), met AS (
+  SELECT doc_id, s, k, item_id FROM places JOIN windows USING (k, words)
+), hits AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM met) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(f.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM docs d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN found f ON d.doc_id = f.doc_id
+"""
+
+ORACLES["op13_fill_in_middle"] = rf"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, t, n, CAST('0x' || x[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || x[9:16] AS BIGINT) % (n + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || x[17:24] AS BIGINT) % 100 >= {100 - infilling.PLAIN} THEN 'plain'
+      WHEN CAST('0x' || x[25:32] AS BIGINT) % 100 < {infilling.SUFFIX_FIRST} THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), cut AS (
+  SELECT *, least(a, b) AS u, greatest(a, b) AS v FROM h
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN u END AS BIGINT) AS prefix_chars, CAST(CASE WHEN form <> 'plain' THEN v - u END AS BIGINT) AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substring(t, 1, u) || '<S>' || substring(t, v + 1) || '<M>' || substring(t, u + 1, v - u)
+    ELSE '<S>' || substring(t, v + 1) || '<P>' || substring(t, 1, u) || '<M>' || substring(t, u + 1, v - u) END) AS output_sha256, sha256(t) AS restored_sha256
+FROM cut
+"""
