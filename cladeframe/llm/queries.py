@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, infilling, kneser_ney, line_dedup, mixing, packing, postings, quality_rules, secrets, simhash, suffix_tree_lm, winnowing
+from . import chat, infilling, kneser_ney, line_dedup, mixing, packing, postings, quality_rules, secrets, simhash, spelling, suffix_tree_lm, winnowing
 from .common import documents
 
 
@@ -52,6 +52,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(documents(spark, sf_dir))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.contamination_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -64,7 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_line_dedup, op3_simhash_near_dedup, op4_quality_rules, op5_document_fingerprints,
-        op6_lm_scoring, op7_source_mixing, op8_quality_classifier, op9_secret_scan, op10_chat_formatting, op12_benchmark_decontamination, op13_fill_in_middle,
+        op6_lm_scoring, op7_source_mixing, op8_quality_classifier, op9_secret_scan, op10_chat_formatting,
+        op11_spelling_variants, op12_benchmark_decontamination, op13_fill_in_middle,
     )
 }
 
