@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import normalize_text
 from ..functions.text import null_if_blank
-from ..plans.materialize import materialize
+from ..plans.materialize import create_once, materialize
+from .dictionary import changed_counts, open_dictionary, store_dictionary, stored_counts, value_counts
 from .reports import change_rate, snapshot_diff
 
 
@@ -73,12 +78,22 @@ def table_digest(df: DataFrame, h: str = "h") -> tuple[int, int]:
     return rows, int(total or 0)
 
 
-def update(new: DataFrame, root: str, key: list[str], rid: str = "id", most: float = 0.10, force: bool = False) -> tuple[int, dict[str, int]]:
+class Conflict(RuntimeError):
+    """Another writer published the version that this one was to be; nothing was changed."""
+
+
+def update(
+    new: DataFrame, root: str, key: list[str], rid: str = "id", most: float = 0.10, force: bool = False, values: list[str] | None = None, tries: int = 5,
+) -> tuple[int, dict[str, int]]:
     """Brings the table under root to the rows of `new`, as a new version: (its number, rows by what became of them).
 
     Unchanged and changed rows keep their ids. Without a version yet, all rows are new. Refused are an empty `new`, one
     that would change over `most` of the old rows (unless forced), and a result whose rows are not those of `new`; no row
-    that changed gives the version there is. `h` in the stored table is each row's hash, and `rid` its id."""
+    that changed gives the version there is. `h` in the stored table is each row's hash, and `rid` its id.
+
+    Where another writer publishes meanwhile, the difference is taken anew, from that writer's version, up to `tries`
+    times in all. `values` names columns whose value dictionary goes with each version, kept up by the changed rows alone.
+    """
     spark = new.sparkSession
     columns = [c for c in new.columns if c not in (rid, "h")]
     lines = numbered(new.select(*columns).withColumn("h", row_hash(columns)), [*key, "h"], "line_")
@@ -86,43 +101,65 @@ def update(new: DataFrame, root: str, key: list[str], rid: str = "id", most: flo
     wanted = table_digest(lines)
     if not wanted[0]:
         raise Refused("no rows")
-    now = current_version(spark, root)
-    if now is None:
-        first = lines.withColumnRenamed("line_", rid)
-        return publish(first, root, wanted[0]), {"new": wanted[0]}
-    old = spark.read.parquet(now["path"])
-    diff = materialize(snapshot_diff(old, lines, key, rid, "line_"), "diff")
-    ops = {r["op"]: r["count"] for r in diff.groupBy("op").count().collect()}
-    if set(ops) <= {"same"}:
-        return now["version"], ops
-    if not force and change_rate(diff, most).first()["refused"]:
-        raise Refused(f"over {most:.0%} of the rows would change: {ops}")
-    result = materialize(snapshot_apply(old.select(rid, *columns, "h"), lines.select(*columns, "h", "line_"), diff, rid, "line_"), "updated")
-    if table_digest(result) != wanted:
-        raise Refused("the updated table is not the new one")
-    return publish(result, root, wanted[0]), ops
-
-
-def publish(df: DataFrame, root: str, expected: int | None = None) -> int:
-    """Writes df as the next version under root and returns its number. Readers see it only once its line is in the list
-    of versions, which is appended after the rows are counted; a write that stops half-way is never read."""
+    for left in reversed(range(tries)):
+        now = current_version(spark, root)
+        try:
+            if now is None:
+                counts = value_counts(lines, values) if values else None
+                return publish(lines.withColumnRenamed("line_", rid), root, wanted[0], 0, counts), {"new": wanted[0]}
+            old = spark.read.parquet(now["path"])
+            diff = materialize(snapshot_diff(old, lines, key, rid, "line_"), "diff")
+            ops = {r["op"]: r["count"] for r in diff.groupBy("op").count().collect()}
+            if set(ops) <= {"same"}:
+                return now["version"], ops
+            if not force and change_rate(diff, most).first()["refused"]:
+                raise Refused(f"over {most:.0%} of the rows would change: {ops}")
+            result = materialize(snapshot_apply(old.select(rid, *columns, "h"), lines.select(*columns, "h", "line_"), diff, rid, "line_"), "updated")
+            if table_digest(result) != wanted:
+                raise Refused("the updated table is not the new one")
+            counts = None
+            if values and now["values"]:
+                counts = changed_counts(stored_counts(spark, open_dictionary(spark, now["values"])), old, lines, diff, rid, "line_", values)
+            elif values:
+                counts = value_counts(result, values)
+            return publish(result, root, wanted[0], now["version"], counts), ops
+        except Conflict:
+            if not left:
+                raise
+    raise AssertionError("unreachable")
+
+
+_VERSION = "version long, rows long, path string, values string"
+
+
+def publish(df: DataFrame, root: str, expected: int | None = None, base: int | None = None, counts: DataFrame | None = None) -> int:
+    """Writes df as the next version under root and returns its number; with value_counts, its dictionary too.
+
+    The rows are written to a folder of their own and counted; then the version's file is created, which only one writer
+    can do. So readers see whole versions, a write that stops half-way is never read, and of two writers that start from
+    one version (`base`; the newest if not given) the second gets a Conflict."""
     spark = df.sparkSession
-    now = current_version(spark, root)
-    number = (now[0] if now else 0) + 1
-    path = f"{root}/v={number:06d}"
-    df.write.mode("overwrite").parquet(path)
-    rows = spark.read.schema(df.schema).parquet(path).count()
+    if base is None:
+        now = current_version(spark, root)
+        base = now["version"] if now else 0
+    place = f"{root}/data/{uuid.uuid4().hex}"
+    df.write.parquet(f"{place}/rows")
+    rows = spark.read.schema(df.schema).parquet(f"{place}/rows").count()
     if expected is not None and rows != expected:
         raise ValueError(f"{rows} rows written, {expected} expected")
-    spark.createDataFrame([(number, rows, path)], "version long, rows long, path string").coalesce(1).write.mode("append").json(f"{root}/versions")
-    return number
+    if counts is not None:
+        store_dictionary(counts, f"{place}/values")
+    told = {"version": base + 1, "rows": rows, "path": f"{place}/rows", "values": f"{place}/values" if counts is not None else None}
+    if not create_once(spark, f"{root}/versions/{base + 1:09d}.json", json.dumps(told)):
+        raise Conflict(f"version {base + 1} of {root} was published by another writer")
+    return base + 1
 
 
 def current_version(spark: SparkSession, root: str):
-    """(version, rows, path) of the newest complete version, or None."""
+    """(version, rows, path, values) of the newest complete version, or None."""
     try:
-        listed = spark.read.schema("version long, rows long, path string").json(f"{root}/versions")
-    except Exception as e:  # nothing was published yet
+        listed = spark.read.schema(_VERSION).json(f"{root}/versions")
+    except AnalysisException as e:  # nothing was published yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None

@@ -181,13 +181,3 @@ def text_predicate(columns: list[str], tree, case_sensitive: bool = False) -> Co
     op, a, b = tree
     left, right = text_predicate(columns, a, case_sensitive), text_predicate(columns, b, case_sensitive)
     return left & right if op == "and" else left | right if op == "or" else left & ~right
-
-
-def suggest(df: DataFrame, columns: list[str], query: str, n: int = 10) -> DataFrame:
-    """(value, field, rows): values that hold the query, whole prefixes first, then word prefixes; each value once."""
-    q = T.fold_text(query)
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("field"), F.col(c).alias("value")) for k, c in enumerate(columns)])).alias("x")).select("x.*")
-    counts = pairs.where(T.fold(F.col("value")).contains(q)).groupBy("k", "field", "value").agg(F.count("*").alias("rows"))
-    first = counts.groupBy("value").agg(F.min_by(F.struct("field", "rows"), "k").alias("x")).select("value", "x.*")
-    tier = F.when(T.fold(F.col("value")).startswith(q), 0).when(F.concat(F.lit(" "), T.fold(F.col("value"))).contains(" " + q), 1).otherwise(2)
-    return first.orderBy(tier, F.desc("rows"), F.length("value"), "value").limit(n)

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _own: dict[str, str] = {}
+_made: dict[tuple, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,16 +28,73 @@ def shared_folder(spark: SparkSession) -> str:
     return _own[app]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing is at yet."""
+    return f"{shared_folder(spark)}/cladeframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and go on from the files: nothing above is computed again, and a lost
     executor costs only its own tasks."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cladeframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_versions(spark: SparkSession, paths: list[str]) -> tuple[tuple[str, int, int], ...]:
+    """(file, length, time of change) of the files at or under each path: another tuple once a table is written anew."""
+    found = []
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)
+        found += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(found)
+
+
+def once(spark: SparkSession, name: str, paths: list[str], build: Callable[[], T]) -> T:
+    """What `build` gives, built once a session for the present versions of the files at `paths`, and again once these
+    change or the session's tables are cleared."""
+    key = (spark.sparkContext.applicationId, name, file_versions(spark, paths))
+    if key not in _made:
+        _made[key] = build()
+    return _made[key]
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file with its whole content, unless it is there: of several callers one gets True.
+
+    The content is written beside it first, and then given the name in one step that fails where the name is taken: a
+    rename without overwriting, which file systems of clusters do as one step; on one machine's disk, a link."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    fs = place.getFileSystem(conf)
+    place = fs.makeQualified(place)
+    draft = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if place.toUri().getScheme() == "file":
+            at = lambda p: jvm.java.nio.file.Paths.get(p.toUri())
+            jvm.java.nio.file.Files.createLink(at(place), at(draft))
+        else:
+            kinds = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            kinds[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf).rename(draft, place, kinds)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in str(e.java_exception):
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all tables that this session wrote; results not yet read are lost with them."""
+    for key in [k for k in _made if k[0] == spark.sparkContext.applicationId]:
+        del _made[key]
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/cladeframe/{spark.sparkContext.applicationId}")
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

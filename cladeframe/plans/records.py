@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.ingest import numbered
-from .materialize import materialize
+from .materialize import materialize, once
 
 ORDER = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
 _NUMBER = f"CAST(ROW_NUMBER() OVER (ORDER BY {', '.join(ORDER)}) AS BIGINT) AS rid"
@@ -61,18 +61,14 @@ def record_sql(where: str = "true", rid: str = _NUMBER, base: str = _LINES, nuc:
 TABLES = ("lineitem", "part", "supplier", "nation", "region")
 
 
-_made: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _view(spark: SparkSession, sf_dir: str, name: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+def _view(spark: SparkSession, name: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
     for t, df in tables.items():
         df.createOrReplaceTempView(f"_rv_{t}")
     for t in TABLES:
         text = text.replace(f"FROM {t}", f"FROM _rv_{t}").replace(f"JOIN {t} ", f"JOIN _rv_{t} ")
     # Written once a session: the sequences' expressions, inlined where they are used again, outgrow what Spark compiles.
     # As a table of files, each query reads only the columns that it names.
-    made = _made[spark.sparkContext.applicationId, sf_dir, name] = materialize(spark.sql(text), name)
-    return made
+    return materialize(spark.sql(text), name)
 
 
 def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
@@ -80,18 +76,26 @@ def _spread(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
 
 
+def table_paths(sf_dir: str, names: tuple[str, ...] = TABLES) -> list[str]:
+    return [f"{sf_dir}/{t}.parquet" for t in names]
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if made := _made.get((spark.sparkContext.applicationId, sf_dir, "records")):
-        return made
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    lines = numbered(tables["lineitem"].select(*ORDER), list(ORDER), "rid").select("rid", "l_partkey", "l_suppkey", "l_returnflag")
-    tables["lineitem"] = _spread(spark, lines, "rid")
-    return _view(spark, sf_dir, "records", record_sql("true", "rid"), tables)
+    def build() -> DataFrame:
+        tables = _tables(spark, sf_dir)
+        lines = numbered(tables["lineitem"].select(*ORDER), list(ORDER), "rid").select("rid", "l_partkey", "l_suppkey", "l_returnflag")
+        return _view(spark, "records", record_sql("true", "rid"), tables | {"lineitem": _spread(spark, lines, "rid")})
+
+    return once(spark, "records", table_paths(sf_dir), build)
 
 
 def specimens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if made := _made.get((spark.sparkContext.applicationId, sf_dir, "specimens")):
-        return made
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    tables["supplier"] = _spread(spark, tables["supplier"], "s_suppkey")
-    return _view(spark, sf_dir, "specimens", specimen_sql(), tables)
+    def build() -> DataFrame:
+        tables = _tables(spark, sf_dir)
+        return _view(spark, "specimens", specimen_sql(), tables | {"supplier": _spread(spark, tables["supplier"], "s_suppkey")})
+
+    return once(spark, "specimens", table_paths(sf_dir), build)

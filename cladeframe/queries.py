@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import ingest, reports, sequences
+from .operators import dictionary, ingest, reports, sequences
 from .operators.search import Condition as C
-from .operators.search import Group, page, search, suggest, text_predicate, text_query
-from .plans.records import record_sql, records
+from .operators.search import Group, page, search, text_predicate, text_query
+from .plans.materialize import once, scratch
+from .plans.records import record_sql, records, table_paths
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,12 +77,37 @@ def fulltext_case(spark, sf):
     return read(spark, sf, "documents").where(text_predicate(["text"], ("or", "Thing", "Der "), case_sensitive=True)).select("doc_id", "source")
 
 
-@query(f"""WITH p AS (SELECT 0 AS k, 'p_name' AS field, p_name AS value FROM part UNION ALL SELECT 1, 'p_type', p_type FROM part UNION ALL SELECT 2, 'p_brand', p_brand FROM part),
+SUGGESTED = ["p_name", "p_type", "p_brand"]
+_VALUES = "WITH p AS (SELECT 0 AS k, 'p_name' AS field, p_name AS value FROM part UNION ALL SELECT 1, 'p_type', p_type FROM part UNION ALL SELECT 2, 'p_brand', p_brand FROM part)"
+
+
+def _dictionary(spark, sf):
+    """The dictionary of part's names, types and brands: stored once a session, opened by each query."""
+    build = lambda: dictionary.store_dictionary(dictionary.value_counts(read(spark, sf, "part"), SUGGESTED), scratch(spark, "values"))
+    return once(spark, "values", table_paths(sf, ("part",)), build)
+
+
+@query(f"{_VALUES} SELECT k, field, value, count(*) AS n FROM p WHERE value IS NOT NULL GROUP BY ALL")
+def value_dictionary(spark, sf):
+    return dictionary.stored_counts(spark, _dictionary(spark, sf))
+
+
+@query(f"""{_VALUES},
 c AS (SELECT k, field, value, count(*) AS n FROM p WHERE contains({fold('value')}, 'br') GROUP BY ALL),
 f AS (SELECT value, field, n FROM c QUALIFY row_number() OVER (PARTITION BY value ORDER BY k) = 1)
 SELECT value, field, n AS "rows" FROM f ORDER BY CASE WHEN starts_with({fold('value')}, 'br') THEN 0 WHEN contains(concat(' ', {fold('value')}), ' br') THEN 1 ELSE 2 END, n DESC, length(value), value LIMIT 10""")
 def suggest_values(spark, sf):
-    return suggest(read(spark, sf, "part"), ["p_name", "p_type", "p_brand"], "Br")
+    return dictionary.suggest(spark, _dictionary(spark, sf), "Br")
+
+
+def _inside_sql(q: str) -> str:
+    return f"""{_VALUES}, f AS (SELECT value, field, count(*) AS n FROM p WHERE contains({fold('value')}, '{q}') GROUP BY k, field, value QUALIFY row_number() OVER (PARTITION BY value ORDER BY k) = 1)
+SELECT value, field, n AS "rows" FROM f ORDER BY CASE WHEN starts_with({fold('value')}, '{q}') THEN 0 WHEN contains(concat(' ', {fold('value')}), ' {q}') THEN 1 ELSE 2 END, n DESC, length(value), value LIMIT 10"""
+
+
+@query(_inside_sql("idg"))
+def suggest_inside_words(spark, sf):
+    return dictionary.suggest(spark, _dictionary(spark, sf), "IDG")
 
 
 def _pivot_sql(measure: str) -> str:
