@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import epithet, settled
+from ..plans.materialize import materialize
+from . import similarity
 from .graph import components
 
 NEAR, FAR = 0.01, 0.03
@@ -53,15 +55,34 @@ def distance_histogram(pairs: DataFrame, width: float = 0.01) -> DataFrame:
     return pairs.where("d is not null").groupBy(F.floor(F.col("d") / width + 1e-9).alias("bin")).agg(F.count("*").alias("pairs"))
 
 
-def _nearest(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """Records whose nearest record of another settled species is within NEAR, with their nearest of the own species."""
+def _settled(records: DataFrame) -> DataFrame:
     rec = records.withColumn("species", settled(F.col("species"))).where("species is not null")
-    rec = rec.select("rid", "species", F.coalesce(F.when(F.col("genus") != "", F.col("genus")), F.substring_index("species", " ", 1)).alias("genus"), F.coalesce("bin", F.lit("")).alias("bin"))
-    x = _named(both_ways(pairs), rec, ["species", "genus", "bin"])
+    return rec.select("rid", "species", F.coalesce(F.when(F.col("genus") != "", F.col("genus")), F.substring_index("species", " ", 1)).alias("genus"), F.coalesce("bin", F.lit("")).alias("bin"))
+
+
+def nearest_of_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """(rid, own, nn, nn_id) of records with a settled species: the least distance to a record of the own species, and to
+    one of another (ties: least id)."""
+    x = _named(both_ways(pairs), _settled(records), ["species"])
     own = F.col("species1") == F.col("species2")
-    stats = x.groupBy("i").agg(
-        F.min(F.when(~own, F.struct("d", "j"))).alias("x"), F.min(F.when(own, F.col("d"))).alias("own"),
-    ).where(f"x.d <= {NEAR}").select("i", F.col("x.j").alias("j"), F.col("x.d").alias("nn"), "own")
+    stats = x.groupBy("i").agg(F.min(F.when(~own, F.struct("d", "j"))).alias("x"), F.min(F.when(own, F.col("d"))).alias("own"))
+    return stats.select(F.col("i").alias("rid"), "own", F.col("x.d").alias("nn"), F.col("x.j").alias("nn_id"))
+
+
+def nearest_of_records(records: DataFrame, group: str, seq: str) -> DataFrame:
+    """What nearest_of_pairs gives for the records whose nearest of another species is within NEAR, from the records
+    themselves, aligned within `group`: no pair farther than FAR is looked at, but of records that would be suspect."""
+    rec = records.withColumn("species", settled(F.col("species"))).where("species is not null")
+    near = similarity.nearest_within(rec, F.col(group), "rid", seq, F.col("species"), FAR).where(F.col("nn") <= NEAR)
+    near = materialize(near, "nearest")
+    far = similarity.nearest_of_label(rec, near.where("own is null"), F.col(group), "rid", seq, F.col("species")).withColumnRenamed("own", "far")
+    return near.join(far, "rid", "left").select("rid", F.coalesce("own", "far").alias("own"), "nn", "nn_id")
+
+
+def _judged(near: DataFrame, records: DataFrame) -> DataFrame:
+    """Records whose nearest record of another settled species is within NEAR, with what becomes of them."""
+    rec = _settled(records)
+    stats = near.where(F.col("nn") <= NEAR).select(F.col("rid").alias("i"), F.col("nn_id").alias("j"), "nn", "own")
     e1, e2 = epithet(F.col("species1")), epithet(F.col("species2"))
     other = F.col("genus1") != F.col("genus2")
     renamed = F.coalesce((e1 == e2) & other, F.lit(False))
@@ -69,17 +90,17 @@ def _nearest(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return _named(stats, rec, ["species", "genus", "bin"]).withColumns({"other_genus": other, "renamed": renamed, "suspect": ~renamed & lone & (other | F.col("own").isNotNull())})
 
 
-def suspects(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(rid, species, own, nn, nn_species, nn_id, reason): a record within NEAR of another species that none of its own
+def suspects(near: DataFrame, records: DataFrame) -> DataFrame:
+    """From nearest_of_pairs or nearest_of_records: (rid, species, own, nn, nn_species, nn_id, reason): a record within NEAR of another species that none of its own
     within FAR backs."""
     reason = F.when(F.col("other_genus"), "other_genus").otherwise("far_from_own")
-    return _nearest(pairs, records).where("suspect").select(F.col("i").alias("rid"), F.col("species1").alias("species"), "own", "nn", F.col("species2").alias("nn_species"), F.col("j").alias("nn_id"), reason.alias("reason"))
+    return _judged(near, records).where("suspect").select(F.col("i").alias("rid"), F.col("species1").alias("species"), "own", "nn", F.col("species2").alias("nn_species"), F.col("j").alias("nn_id"), reason.alias("reason"))
 
 
-def shared_barcodes(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """(species_a, species_b, kind, least, records, shared_bin): pairs of species that the marker does not tell apart;
+def shared_barcodes(near: DataFrame, records: DataFrame) -> DataFrame:
+    """From nearest_of_pairs or nearest_of_records: (species_a, species_b, kind, least, records, shared_bin): pairs of species that the marker does not tell apart;
     renamed if one epithet stands in two genera, else congeneric. Pairs with a suspect are left out."""
-    near = _nearest(pairs, records)
+    near = _judged(near, records)
     bad = near.where("suspect").select(F.col("i").alias("r"))
     ok = near.where("not suspect").join(bad.select(F.col("r").alias("j")), "j", "left_anti")
     kind = F.when(F.col("renamed"), "renamed").when(~F.col("other_genus"), "congeneric")
@@ -99,13 +120,24 @@ def neighbour_kinds(pairs: DataFrame, records: DataFrame) -> DataFrame:
     return near.select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("records"))
 
 
+def lineages_of_records(records: DataFrame, group: str, seq: str, within: float = 0.02, least: int = 3) -> DataFrame:
+    """What species_lineages gives, from the records themselves, aligned within `group`."""
+    rec = records.withColumn("species", settled(F.col("species"))).where("species is not null")
+    chained = similarity.close_groups(rec, F.concat_ws("\u001f", group, "species"), "rid", seq, within)
+    return _lineages(rec.select("rid", "species").join(chained, "rid"), least)
+
+
 def species_lineages(pairs: DataFrame, records: DataFrame, within: float = 0.02, least: int = 3) -> DataFrame:
     """(species, lineages, isolated): groups of a species' records chained by distances under `within`; groups of fewer
     than `least` records are isolated records."""
     rec = records.withColumn("species", settled(F.col("species"))).where("species is not null").select("rid", "species")
     close = _named(pairs.where(F.col("d") < within), rec, ["species"]).where("species1 = species2")
     groups = components(rec.select(F.col("rid").alias("node")), close.select(F.col("i").alias("a"), F.col("j").alias("b")))
-    sizes = rec.join(groups, F.col("rid") == F.col("node")).groupBy("species", "label").agg(F.count("*").alias("n"))
+    return _lineages(rec.join(groups, F.col("rid") == F.col("node")), least)
+
+
+def _lineages(chained: DataFrame, least: int) -> DataFrame:
+    sizes = chained.groupBy("species", "label").agg(F.count("*").alias("n"))
     big = F.col("n") >= least
     return sizes.groupBy("species").agg(F.count_if(big).alias("lineages"), F.sum(F.when(big, 0).otherwise(F.col("n"))).alias("isolated"))
 
@@ -116,6 +148,11 @@ def motus(pairs: DataFrame, records: DataFrame, cut: float) -> DataFrame:
     return components(records.select(F.col("rid").alias("node")), close).select(F.col("node").alias("rid"), F.col("label").alias("motu"))
 
 
+def motus_of_records(records: DataFrame, group: str, seq: str, cut: float) -> DataFrame:
+    """What motus gives, from the records themselves, aligned within `group`."""
+    return similarity.close_groups(records, F.col(group), "rid", seq, cut).withColumnRenamed("label", "motu")
+
+
 def motu_agreement(groups: DataFrame, records: DataFrame) -> DataFrame:
     """(species, n, motus, others, status): match (one group, its own), split, merged (shared) or split_merged."""
     named = groups.join(records.select("rid", settled(F.col("species")).alias("species")), "rid").where("species is not null")

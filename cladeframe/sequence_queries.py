@@ -89,14 +89,14 @@ v AS (SELECT *, NOT renamed AND (own IS NULL OR own > {distances.FAR}) AND (othe
 @query(_NEAR + "SELECT i AS rid, s1 AS species, round(own, 6) AS own, round(d, 6) AS nn, s2 AS nn_species, j AS nn_id, CASE WHEN other THEN 'other_genus' ELSE 'far_from_own' END AS reason FROM v WHERE suspect")
 def identification_check(spark, sf):
     r, d = _distances(spark, sf)
-    return _rounded(distances.suspects(d, r), "own", "nn")
+    return _rounded(distances.suspects(distances.nearest_of_pairs(d, r), r), "own", "nn")
 
 
 @query(_NEAR + """, u AS (SELECT least(s1, s2) AS species_a, greatest(s1, s2) AS species_b, CASE WHEN renamed THEN 'renamed' WHEN NOT other THEN 'congeneric' END AS kind, d, b1 <> '' AND b1 = b2 AS sb, unnest([i, j]) AS rr FROM v WHERE NOT suspect AND j NOT IN (SELECT i FROM v WHERE suspect))
 SELECT species_a, species_b, max(kind) AS kind, round(min(d), 6) AS least, count(DISTINCT rr) AS records, bool_or(sb) AS shared_bin FROM u WHERE kind IS NOT NULL GROUP BY ALL""")
 def shared_barcodes(spark, sf):
     r, d = _distances(spark, sf)
-    return _rounded(distances.shared_barcodes(d, r), "least")
+    return _rounded(distances.shared_barcodes(distances.nearest_of_pairs(d, r), r), "least")
 
 
 @query(_D + """, y AS (SELECT i, d, a.species = b.species AS own FROM w JOIN nm a ON a.rid = i JOIN nm b ON b.rid = j WHERE a.species IS NOT NULL AND b.species IS NOT NULL),
