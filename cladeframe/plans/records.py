@@ -27,6 +27,16 @@ _ALIGNED = """CASE WHEN rid % 7 = 0 THEN substr(m, 1, 600) WHEN rid % 11 = 0 THE
            WHEN rid % 31 = 0 THEN concat(substr(m, 1, 100), 'NRY', substr(m, 104)) ELSE m END"""
 
 
+#: How the raw sequences lie over a whole one: what an alignment of them should give.
+_TRUE = """CASE WHEN rid % 97 = 0 THEN concat(substr(m, 1, 30), 'TAATTAATTAA', substr(m, 42)) WHEN rid % 7 = 0 THEN concat(substr(m, 1, 600), repeat('-', 40))
+           WHEN rid % 11 = 0 THEN concat(repeat('-', 20), substr(m, 21)) WHEN rid % 31 = 0 THEN concat(substr(m, 1, 200), 'NRY', substr(m, 204)) ELSE m END"""
+
+
+def true_alignment_sql() -> str:
+    """The records with the true alignment of their raw sequences."""
+    return record_sql(nuc=_TRUE)
+
+
 def specimen_sql() -> str:
     return record_sql("true", "CAST(s_suppkey AS BIGINT) AS rid", "s_suppkey AS pk, s_suppkey AS sk, CASE WHEN s_suppkey % 3 = 0 THEN 'R' ELSE 'N' END AS rf FROM supplier", _ALIGNED, "WHEN rid % 29 = 5 THEN 'Genusb epithetb'")
 
