@@ -23,15 +23,6 @@ def pivot_cells(df: DataFrame, row: str, col: str, measure: Column, top: int = 1
     return cells.select(F.col("_r").alias("row_label"), F.col("_c").alias("col_label"), (F.col("gc") == 1).alias("is_row_total"), (F.col("gr") == 1).alias("is_col_total"), "value")
 
 
-def match_terms(df: DataFrame, terms: DataFrame, levels: list[str], rid: str) -> DataFrame:
-    """(rid, term, level) of records whose value at any level is a term. One equi-join over unpivoted levels; Spark
-    broadcasts the terms if they are small."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("level"), fold(F.col(c)).alias("_k")) for c in levels]))
-    long = df.select(F.col(rid), each.alias("x")).select(rid, "x.*").where("_k is not null")
-    keys = terms.select("term", fold(F.col("term")).alias("_k"))
-    return long.join(keys, "_k").select(rid, "term", "level")
-
-
 def term_counts(matches: DataFrame, rid: str) -> DataFrame:
     return matches.groupBy("term").agg(F.count_distinct(rid).alias("records"))
 

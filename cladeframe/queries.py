@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dictionary, ingest, reports, sequences
+from .operators import dictionary, ingest, reports, sequences, terms
 from .operators.search import Condition as C
 from .operators.search import Group, page, search, text_predicate, text_query
 from .plans.materialize import once, scratch
@@ -142,7 +142,7 @@ SELECT rid, term, bin_uri FROM rec JOIN t ON {fold('term')} = {fold('species')}
 
 def _matches(spark, sf):
     rec = records(spark, sf)
-    return rec, reports.match_terms(rec, spark.createDataFrame([(t,) for t in TERMS], "term string"), ["species", "genus", "family"], "rid")
+    return rec, terms.match_taxa(rec, spark.createDataFrame([(t, t) for t in TERMS], "term string, value string"), "rid", "species", ["genus", "family"])
 
 
 @query(f"{_MATCH} SELECT term, count(DISTINCT rid) AS records FROM m GROUP BY term")

@@ -216,17 +216,29 @@ def _members(spark, sf):
     return d.where("marker_code = 'COI-5P'"), r.where("marker_code = 'COI-5P'").select("rid", F.col("region").alias("zone"), N.coordinates(F.col("coord")).alias("c")).select("rid", "zone", "c.*")
 
 
-@query(_ZONED + """, a AS (SELECT (SELECT sum(s) FROM sz) AS n, (SELECT count(*) FROM sz)::DOUBLE AS p, (SELECT sum(s * s) FROM sz) AS sq, (SELECT sum(d) FROM pr) AS t, (SELECT sum(x / s) FROM (SELECT z1 AS zone, sum(d) AS x FROM pr WHERE z1 = z2 GROUP BY z1) JOIN sz USING (zone)) AS wp),
-b AS (SELECT *, wp / (n - p) AS msd, ((t / n - wp) / (p - 1) - wp / (n - p)) / ((n - sq / n) / (p - 1)) AS sg FROM a)
-SELECT round(CASE WHEN sg + msd > 0 THEN sg / (sg + msd) ELSE 0 END, 6) AS phi_st, p::BIGINT AS zones, n::BIGINT AS n FROM b""")
+PERMUTATIONS = 99
+
+
+def _dealt(seed: int, columns: str) -> str:
+    """The members with `columns` dealt anew in each permutation but 0, by md5 order."""
+    return f""", pm AS (SELECT unnest(range(0, {PERMUTATIONS + 1})) AS perm), tk AS (SELECT perm, rid, row_number() OVER (PARTITION BY perm ORDER BY rid) AS k FROM mb, pm),
+fk AS (SELECT perm, {columns}, row_number() OVER (PARTITION BY perm ORDER BY CASE WHEN perm = 0 THEN '' ELSE md5(concat('{seed}/', perm, '/', rid)) END, rid) AS k FROM mb, pm), lb AS (SELECT perm, rid, {columns} FROM tk JOIN fk USING (perm, k))"""
+
+
+@query(_ZONED + _dealt(1, "zone") + """, i AS (SELECT perm, a.zone, sum(d) AS x FROM (SELECT i, j, d FROM pr) JOIN lb a ON a.rid = i JOIN lb b USING (perm, zone) WHERE b.rid = j GROUP BY ALL), ws AS (SELECT perm, sum(x / s) AS wp FROM i JOIN sz USING (zone) GROUP BY perm),
+a AS (SELECT perm, wp, (SELECT sum(s) FROM sz) AS n, (SELECT count(*) FROM sz)::DOUBLE AS p, (SELECT sum(s * s) FROM sz) AS sq, (SELECT sum(d) FROM pr) AS t FROM ws),
+b AS (SELECT *, wp / (n - p) AS msd, ((t / n - wp) / (p - 1) - wp / (n - p)) / ((n - sq / n) / (p - 1)) AS sg FROM a), ph AS (SELECT perm, n, p, CASE WHEN sg + msd > 0 THEN sg / (sg + msd) ELSE 0 END AS phi FROM b), o AS (SELECT * FROM ph WHERE perm = 0)
+SELECT round(o.phi, 6) AS phi_st, round((SELECT count(*) FROM ph, o WHERE ph.phi >= o.phi - 1e-12)::DOUBLE / (SELECT count(*) FROM ph), 6) AS p_value, p::BIGINT AS zones, n::BIGINT AS n FROM o""")
 def phist_observed(spark, sf):
-    return _rounded(diversity.phi_st(*_members(spark, sf), permutations=99), "phi_st").drop("p_value")
+    return _rounded(diversity.phi_st(*_members(spark, sf), permutations=PERMUTATIONS), "phi_st", "p_value")
 
 
-@query(_ZONED + """, x AS (SELECT d, radians(regexp_extract(c1, '\\[([-0-9.]+),', 1)::DOUBLE) AS a1, radians(regexp_extract(c1, ', ([-0-9.]+)', 1)::DOUBLE) AS o1, radians(regexp_extract(c2, '\\[([-0-9.]+),', 1)::DOUBLE) AS a2, radians(regexp_extract(c2, ', ([-0-9.]+)', 1)::DOUBLE) AS o2 FROM pr)
-SELECT round(corr(d, 2 * 6371 * asin(sqrt(least(1.0, pow(sin((a2 - a1) / 2), 2) + cos(a1) * cos(a2) * pow(sin((o2 - o1) / 2), 2))))), 6) AS r FROM x""")
+@query(_ZONED + ", cc AS (SELECT rid, radians(regexp_extract(coord, '\\[([-0-9.]+),', 1)::DOUBLE) AS la, radians(regexp_extract(coord, ', ([-0-9.]+)', 1)::DOUBLE) AS lo FROM mb)" + _dealt(2, "la, lo").replace("FROM mb", "FROM cc") + """,
+x AS (SELECT perm, d, a.la AS a1, a.lo AS o1, b.la AS a2, b.lo AS o2 FROM (SELECT i, j, d FROM pr) JOIN lb a ON a.rid = i JOIN lb b USING (perm) WHERE b.rid = j),
+rs AS (SELECT perm, corr(d, 2 * 6371 * asin(sqrt(least(1.0, pow(sin((a2 - a1) / 2), 2) + cos(a1) * cos(a2) * pow(sin((o2 - o1) / 2), 2))))) AS r FROM x GROUP BY perm), o AS (SELECT r FROM rs WHERE perm = 0)
+SELECT round(o.r, 6) AS r, round((SELECT count(*) FROM rs, o WHERE rs.r >= o.r - 1e-12)::DOUBLE / (SELECT count(*) FROM rs), 6) AS p_value FROM o""")
 def mantel_r(spark, sf):
-    return _rounded(diversity.mantel(*_members(spark, sf), permutations=99), "r").drop("p_value")
+    return _rounded(diversity.mantel(*_members(spark, sf), permutations=PERMUTATIONS), "r", "p_value")
 
 
 _UNITS = f"{_REC}, c AS (SELECT country AS zone, species AS u, count(*) AS c FROM rec WHERE species IS NOT NULL GROUP BY ALL)"

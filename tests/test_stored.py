@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cladeframe import queries as R
-from cladeframe.operators import dictionary, ingest
+from cladeframe.operators import dictionary, ingest, reports
 from cladeframe.plans import materialize as M
+from cladeframe.streaming import feeds
 
 
 def brute(rows, columns, q, limit=10):
@@ -169,3 +170,41 @@ def test_clear_and_rewritten_tables(spark, tmp_path, sf):
     assert [M.once(spark, "x", [path], build) for _ in range(2)] == [1, 1]
     spark.range(4).write.mode("overwrite").parquet(path)
     assert M.once(spark, "x", [path], build) == 2
+
+
+def test_snapshots_as_a_stream(spark, tmp_path):
+    """The operations of arriving snapshots are those of snapshot_diff on the same rows."""
+    rnd = random.Random(5)
+    shape = "p string, m string, h string, at timestamp, id long"
+    versions, rows = [[]], []
+    for v in range(4):
+        rows = [(f"p{k // 3}", "COI" if k % 3 else None, f"h{rnd.randrange(4)}") for k in range(60) if rnd.random() < 0.8 and not (v == 2 and k < 12)]
+        versions.append(rows + rows[:2])
+    place = f"file://{tmp_path}/in"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", feeds.STATE_STORE)
+    try:
+        got = []
+        for v, rows in enumerate(versions[1:], 1):
+            df = spark.createDataFrame(rows, "p string, m string, h string").withColumn("at", F.timestamp_seconds(F.lit(1000 * v)))
+            df.coalesce(1).write.mode("append").parquet(place)
+            stream = spark.readStream.schema("p string, m string, h string, at timestamp").parquet(place)
+            out = feeds.snapshot_operations(stream, ["p", "m"], "at", "h")
+            write = lambda df, k: got.extend(map(tuple, df.select("p", "m", "at", "op", "n").collect()))
+            q = out.writeStream.outputMode("append").option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).foreachBatch(write).start()
+            q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    told = Counter()
+    for p, m, at, op, n in got:
+        told[p, m, int(at.timestamp()) // 1000, op] += n
+    want = Counter()
+    for v in range(1, 5):
+        frame = lambda rows: spark.createDataFrame([(*r, None, k) for k, r in enumerate(rows)], shape)
+        old, new = frame(versions[v - 1]), frame(versions[v])
+        where = {("old_id", k): r for k, r in enumerate(versions[v - 1])} | {("new_id", k): r for k, r in enumerate(versions[v])}
+        for r in reports.snapshot_diff(old, new, ["p", "m"], "id", "id").collect():
+            side = "old_id" if r["old_id"] is not None else "new_id"
+            p, m, _ = where[side, r[side]]
+            want[p, m or "", v, r["op"]] += 1
+    assert told == want
+    assert {k[3] for k in want} == {"same", "chg", "gone", "new"}
