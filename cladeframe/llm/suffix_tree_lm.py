@@ -41,6 +41,8 @@ DEPTH = 3
 ADD, DISCOUNT = 0.1, 0.75
 GAIN = 2.0
 BUCKET = 200_000
+#: Texts whose sums are put together in one part.
+PART = 50_000
 #: Longer contexts with fewer occurrences than this are never taken for frequent.
 FEWEST = 64
 END = b""
@@ -387,17 +389,22 @@ def deepen(v: np.ndarray, model: Model) -> np.ndarray:
 
 
 def rarer_states(coded: DataFrame, model: Model, n: int) -> DataFrame:
-    """(uid, more): what the states that are not frequent add to each text's score."""
+    """(uid, deep): what the states that are not frequent add to each text's score.
+
+    A task sums what its buckets add to each text, and sends the sums packed, one row for each part of the texts; so rows
+    are as many as the pieces of a shuffle, however many texts a task meets. The parts are then summed one pack at a time.
+    """
     dealt = positions(coded, model, max(8, n // BUCKET))
     shared = coded.sparkSession.sparkContext.broadcast(model)
+    parts = max(8, coded.count() // PART)
+
+    def merged(sums: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        own, at = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
+        return own, np.bincount(at, np.concatenate([y for _, y in sums]), len(own))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, v, u, sums, held = None, [], [], [], 0
 
-        def merged():
-            own, at = np.unique(np.concatenate([x for x, _ in sums]), return_inverse=True)
-            return own, np.bincount(at, np.concatenate([y for _, y in sums]), len(own))
-
         def close():
             more = deepen(np.concatenate(v), shared.value)
             some = np.flatnonzero(more)
@@ -405,6 +412,19 @@ def rarer_states(coded: DataFrame, model: Model, n: int) -> DataFrame:
             v.clear()
             u.clear()
 
+        def packs() -> pa.RecordBatch:
+            own, more = merged(sums)
+            mix = own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            part = ((mix >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            part, own, more = part[order], own[order], more[order]
+            start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+            ends = np.append(start[1:], len(part)) if len(part) else start
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[start]), pa.array(ends - start), pa.array([packed(own[x:y]) for x, y in zip(start, ends)], pa.binary()), pa.array([packed(more[x:y]) for x, y in zip(start, ends)], pa.binary())],
+                names=["part", "n", "u", "more"],
+            )
+
         for batch in batches:
             for k in range(batch.num_rows):
                 bucket, n = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
@@ -412,10 +432,10 @@ def rarer_states(coded: DataFrame, model: Model, n: int) -> DataFrame:
                     close()
                     held += len(sums[-1][0])
                     if held > _HELD:
-                        sums = [merged()]
+                        sums = [merged(sums)]
                         held = len(sums[0][0])
                         if held > _HELD // 2:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums[0]], names=["uid", "more"])
+                            yield packs()
                             sums, held = [], 0
                 now = bucket
                 v.append(unpacked(batch.column(2)[k].as_py(), n, np.int64))
@@ -423,13 +443,28 @@ def rarer_states(coded: DataFrame, model: Model, n: int) -> DataFrame:
         if v:
             close()
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["uid", "more"])
+            yield packs()
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, held = None, [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                part, n = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if sums and part != now:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(sums)], names=["uid", "deep"])
+                    sums, held = [], 0
+                now = part
+                sums.append((unpacked(batch.column(2)[k].as_py(), n, np.int64), unpacked(batch.column(3)[k].as_py(), n, np.float64)))
+                held += n
+                if held > _HELD:
+                    sums = [merged(sums)]
+                    held = 0
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(sums)], names=["uid", "deep"])
 
     # A task's buckets follow each other, so that a text gets one sum from each task, whatever the number of buckets.
-    # As many tasks at every size: were they merged where the input is small, a text's sums would grow faster than it.
-    tasks = int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = dealt.repartition(tasks, "bucket").sortWithinPartitions("bucket")
-    return ranged.mapInArrow(run, "uid long, more double").groupBy("uid").agg(F.sum("more").alias("deep"))
+    summed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "part long, n long, u binary, more binary")
+    return summed.repartition("part").sortWithinPartitions("part").mapInArrow(total, "uid long, deep double")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
