@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import alignment, lookups, quality, sequences, shape, terms
-from .plans.materialize import materialize
-from .plans.records import record_sql, records, specimens
+from .plans.materialize import materialize, once
+from .plans.records import record_sql, records, specimens, table_paths
 from .queries import fold, query
 
 _REC = f"WITH rec AS ({record_sql()})"
@@ -40,10 +40,14 @@ rows AS (SELECT rid, length(s) AS length, a, c, g, t, n, ambiguous, invalid, rou
 
 
 def _composed(spark, sf):
-    records(spark, sf).createOrReplaceTempView("_rv_rec")
-    own = spark.sql(f"SELECT rid, {_RANKS}, {_SEQ} FROM _rv_rec")
-    # Written once: a filter on the flags would otherwise run the translations again for each time it names one.
-    return materialize(quality.composition_rows(own, "seq", "marker").drop("seq", "read"), "composition")
+    """Composition and translation of all records, made once a session for all queries that want some of it."""
+
+    def build():
+        records(spark, sf).createOrReplaceTempView("_rv_rec")
+        own = spark.sql(f"SELECT rid, {_RANKS}, {_SEQ} FROM _rv_rec")
+        return materialize(quality.composition_rows(own, "seq", "marker").drop("seq", "read"), "composition")
+
+    return once(spark, "composition", table_paths(sf), build)
 
 
 _SHOWN = ["rid", "length", "a", "c", "g", "t", "n", "ambiguous", "invalid", "gc", "code", "frame", "stops", "reversed", "gc3", "barcode"]

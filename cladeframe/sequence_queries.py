@@ -146,14 +146,14 @@ def motu_bins(spark, sf):
     return distances.motus_equal_bins(g, r)
 
 
-@query()
+#: A pair is in some minimum spanning tree if pairs of smaller distance do not connect its ends.
+@query(_PAIRS.replace("WITH rec", "WITH RECURSIVE rec", 1) + """, pd AS (SELECT i AS a, j AS b, ts + tv AS d FROM c WHERE marker_code = 'COI-5P' AND sites >= 100), both_ AS (SELECT a, b, d FROM pd UNION ALL SELECT b, a, d FROM pd),
+lim AS (SELECT DISTINCT d AS t FROM pd), below AS (SELECT t, a, b FROM lim JOIN both_ ON d < t), reach AS (SELECT t, a AS node, a AS here FROM (SELECT DISTINCT t, a FROM below) UNION SELECT x.t, node, y.b FROM reach x JOIN below y ON y.t = x.t AND y.a = x.here)
+SELECT a, b, d::BIGINT AS d FROM pd WHERE NOT EXISTS (SELECT 1 FROM reach WHERE t = d AND node = a AND here = b)""")
 def spanning_network(spark, sf):
     r, p = _pairs(spark, sf)
-    full = r.where("marker_code = 'COI-5P' and length(nuc) >= 640")
-    edges = p.where("sites >= 600").select(F.col("i").alias("a"), F.col("j").alias("b"), (F.col("ts") + F.col("tv")).alias("d"))
-    ids = full.select(F.col("rid").alias("node"))
-    edges = edges.join(ids.select(F.col("node").alias("a")), "a", "left_semi").join(ids.select(F.col("node").alias("b")), "b", "left_semi")
-    return graph.spanning_network(ids, edges)
+    edges = p.where("marker_code = 'COI-5P' and sites >= 100").select(F.col("i").alias("a"), F.col("j").alias("b"), (F.col("ts") + F.col("tv")).cast("long").alias("d"))
+    return graph.spanning_network(r.where("marker_code = 'COI-5P'").select(F.col("rid").alias("node")), edges)
 
 
 @query()
