@@ -6,23 +6,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..plans.materialize import materialize
 
 
-def pivot_cells(df: DataFrame, row: str, col: str, measure: Column, top: int = 15) -> DataFrame:
+def pivot_cells(df: DataFrame, row: str, col: str, measure: Column, top: int | None = 15) -> DataFrame:
     """(row_label, col_label, is_row_total, is_col_total, value): one cube gives cells and exact totals.
 
-    Columns beyond the `top` most frequent are one column, Other; labels are the least spelling of a folded value.
+    Columns beyond the `top` most frequent are one column, Other, unless that is None; labels are folded values.
     """
     def keyed(name: str) -> Column:
         return fold(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("(none)")))
 
     frame = df.withColumn("_r", keyed(row)).withColumn("_c", keyed(col))
+    if top is None:
+        return _cells(frame, measure)
     most = frame.groupBy("_c").count().orderBy(F.desc("count"), "_c").limit(top).select("_c")  # `top` rows
     folded = frame.join(F.broadcast(most.withColumn("_in", F.lit(True))), "_c", "left").withColumn("_c", F.when(F.col("_in"), F.col("_c")).otherwise("Other"))
-    cells = folded.cube("_r", "_c").agg(measure.alias("value"), F.grouping("_r").alias("gr"), F.grouping("_c").alias("gc"))
+    return _cells(folded, measure)
+
+
+def _cells(frame: DataFrame, measure: Column) -> DataFrame:
+    cells = frame.cube("_r", "_c").agg(measure.alias("value"), F.grouping("_r").alias("gr"), F.grouping("_c").alias("gc"))
     return cells.select(F.col("_r").alias("row_label"), F.col("_c").alias("col_label"), (F.col("gc") == 1).alias("is_row_total"), (F.col("gr") == 1).alias("is_col_total"), "value")
 
 
+#: Most rows and columns of a pivot on a screen.
+ROWS, COLUMNS = 300, 15
+
+
+def pivot_table(df: DataFrame, row: str, col: str, measure: Column, full: bool = False) -> DataFrame:
+    """(row_label, row_total, col_label, col_total, value): the cells of a pivot's ROWS rows of greatest total (ties: by
+    label) and COLUMNS columns, the others under Other; `full` keeps all rows and columns. Totals are exact, over all
+    records of the row or column."""
+    cells = materialize(pivot_cells(df, row, col, measure, None if full else COLUMNS), "pivot")
+    rows = cells.where("is_row_total and not is_col_total").select("row_label", F.col("value").alias("row_total"))
+    if not full:
+        rows = rows.orderBy(F.desc("row_total"), "row_label").limit(ROWS)
+    cols = cells.where("is_col_total and not is_row_total").select("col_label", F.col("value").alias("col_total"))
+    inner = cells.where("not is_row_total and not is_col_total").select("row_label", "col_label", "value")
+    return inner.join(rows, "row_label").join(cols, "col_label").select("row_label", "row_total", "col_label", "col_total", "value")
+
+
 def term_counts(matches: DataFrame, rid: str) -> DataFrame:
     return matches.groupBy("term").agg(F.count_distinct(rid).alias("records"))
 

@@ -168,6 +168,30 @@ def batch_metrics_list(spark, sf):
     return reports.value_lists(records(spark, sf), "genus", "country")
 
 
+def _table_sql(full: bool) -> str:
+    cut = "" if full else "ORDER BY row_total DESC, r LIMIT 300"
+    other = "c0" if full else "CASE WHEN c0 IN (SELECT c0 FROM t) THEN c0 ELSE 'Other' END"
+    return f"""WITH b AS (SELECT CAST(l_partkey AS VARCHAR) AS r, {fold("coalesce(nullif(c_name, ''), '(none)')")} AS c0 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+t AS (SELECT c0 FROM b GROUP BY c0 ORDER BY count(*) DESC, c0 LIMIT 15), f AS (SELECT r, {other} AS c FROM b), rt AS (SELECT r, count(*) AS row_total FROM f GROUP BY r {cut}), ct AS (SELECT c, count(*) AS col_total FROM f GROUP BY c)
+SELECT r AS row_label, row_total, c AS col_label, col_total, count(*) AS "value" FROM f JOIN rt USING (r) JOIN ct USING (c) GROUP BY ALL"""
+
+
+def _table(spark, sf, full):
+    li, o, c = (read(spark, sf, t) for t in ("lineitem", "orders", "customer"))
+    df = li.join(o, F.col("o_orderkey") == F.col("l_orderkey")).join(c, F.col("c_custkey") == F.col("o_custkey"))
+    return reports.pivot_table(df.select(F.col("l_partkey").cast("string").alias("l_partkey"), "c_name"), "l_partkey", "c_name", F.count("*"), full)
+
+
+@query(_table_sql(False))
+def pivot_table(spark, sf):
+    return _table(spark, sf, False)
+
+
+@query(_table_sql(True))
+def pivot_table_full(spark, sf):
+    return _table(spark, sf, True)
+
+
 _DIFF = """WITH o AS (SELECT l_orderkey, l_linenumber, md5(concat(l_partkey, '|', l_suppkey, '|', l_quantity::INT)) AS h, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS id FROM lineitem),
 a AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, h ORDER BY id) AS k FROM o WHERE id % 17 <> 0),
 b0 AS (SELECT l_orderkey, l_linenumber, CASE WHEN id % 23 = 0 THEN 'changed' ELSE h END AS h, id FROM o WHERE id % 19 <> 0),
