@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import best_taxon, clean_sequence
@@ -26,7 +26,29 @@ def write_fasta(df: DataFrame, entry: Column, path: str) -> None:
     df.select(entry.alias("value")).where("value is not null").write.text(path)
 
 
-def write_terms(matches: DataFrame, term: str, path: str) -> None:
+def folder_names(terms: DataFrame, term: str) -> DataFrame:
+    """(term, folder): a folder for each term, its name with other characters than letters, digits, _, . and - as _; of
+    terms that clean to one name, whatever their case, the later ones, by code points, get ~2, ~3 and so on, which no
+    cleaned name holds."""
+    clean = F.regexp_replace(F.col(term), r"[^\w.-]+", "_")
+    each = terms.select(F.col(term).alias("term")).where("term is not null").distinct().withColumn("c", F.when(clean == "", "_").otherwise(clean))
+    k = F.row_number().over(Window.partitionBy(F.lower("c")).orderBy("term"))
+    return each.withColumn("k", k).select("term", F.when(F.col("k") > 1, F.concat("c", F.lit("~"), "k")).otherwise(F.col("c")).alias("folder"))
+
+
+def write_terms(matches: DataFrame, term: str, path: str, names: DataFrame | None = None) -> None:
     """Tab-separated rows in one folder per term, written in one pass. A third of the rows may be one term's: rows are
-    dealt over tasks as they come, not gathered by term."""
-    matches.withColumn("_term", F.regexp_replace(F.col(term), r"[^\w.-]+", "_")).write.partitionBy("_term").options(header=True, sep="\t", nullValue="").csv(path)
+    dealt over tasks as they come, not gathered by term. `names` are folder_names, if known already."""
+    names = folder_names(matches, term) if names is None else names
+    named = matches.join(names.select(F.col("term").alias(term), F.col("folder").alias("_term")), term)
+    named.write.partitionBy("_term").options(header=True, sep="\t", nullValue="").csv(path)
+
+
+def write_batch(matches: DataFrame, terms: DataFrame, term: str, path: str) -> None:
+    """A request's whole result under path: its rows by term (`records`), which folder is whose with numbers of rows
+    (`summary`), and the terms without any (`not_found`). `terms` is the request's list, and decides the folders."""
+    names = folder_names(terms, term)
+    write_terms(matches, term, f"{path}/records", names)
+    counts = names.join(matches.groupBy(F.col(term).alias("term")).agg(F.count("*").alias("records")), "term", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    write_table(counts.where("records > 0").select("term", "folder", "records").orderBy("term"), f"{path}/summary", sep="\t")
+    counts.where("records = 0").select("term").orderBy("term").write.text(f"{path}/not_found")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cladeframe import queries as R
 from cladeframe.operators import dictionary, ingest, reports
 from cladeframe.plans import materialize as M
+from cladeframe.sources import sinks
 from cladeframe.streaming import feeds
 
 
@@ -208,3 +209,17 @@ def test_snapshots_as_a_stream(spark, tmp_path):
             want[p, m or "", v, r["op"]] += 1
     assert told == want
     assert {k[3] for k in want} == {"same", "chg", "gone", "new"}
+
+
+def test_batch_as_files(spark, tmp_path):
+    terms = ["Aedes sp", "Aedes/sp", "aedes_sp", "Culex", "Nosuch", "", "Ünï code"]
+    rows = [(t, k) for t in terms[:4] + terms[6:] for k in range(3)]
+    listed = spark.createDataFrame([(t,) for t in [*terms, "Culex"]], "term string")
+    names = {r["term"]: r["folder"] for r in sinks.folder_names(listed, "term").collect()}
+    assert names == {"Aedes sp": "Aedes_sp", "Aedes/sp": "Aedes_sp~2", "aedes_sp": "aedes_sp~3", "Culex": "Culex", "Nosuch": "Nosuch", "": "_", "Ünï code": "_n_code"}
+    sinks.write_batch(spark.createDataFrame(rows, "term string, n int"), listed, "term", f"file://{tmp_path}/out")
+    back = spark.read.options(header=True, sep="\t").csv(f"file://{tmp_path}/out/records")
+    assert {(r["_term"], r["term"], int(r["n"])) for r in back.collect()} == {(names[t], t, k) for t, k in rows}
+    told = spark.read.options(header=True, sep="\t").csv(f"file://{tmp_path}/out/summary").collect()
+    assert sorted((r["term"], r["folder"], r["records"]) for r in told) == sorted((t, names[t], "3") for t in {r[0] for r in rows})
+    assert sorted(r["value"] or "" for r in spark.read.text(f"file://{tmp_path}/out/not_found").collect()) == ["", "Nosuch"]
