@@ -90,14 +90,24 @@ def _judged(near: DataFrame, records: DataFrame) -> DataFrame:
     return _named(stats, rec, ["species", "genus", "bin"]).withColumns({"other_genus": other, "renamed": renamed, "suspect": ~renamed & lone & (other | F.col("own").isNotNull())})
 
 
-def suspects(near: DataFrame, records: DataFrame) -> DataFrame:
+def suspects(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """suspects_among the records, by their pairs."""
+    return suspects_among(nearest_of_pairs(pairs, records), records)
+
+
+def shared_barcodes(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """shared_among the records, by their pairs."""
+    return shared_among(nearest_of_pairs(pairs, records), records)
+
+
+def suspects_among(near: DataFrame, records: DataFrame) -> DataFrame:
     """From nearest_of_pairs or nearest_of_records: (rid, species, own, nn, nn_species, nn_id, reason): a record within NEAR of another species that none of its own
     within FAR backs."""
     reason = F.when(F.col("other_genus"), "other_genus").otherwise("far_from_own")
     return _judged(near, records).where("suspect").select(F.col("i").alias("rid"), F.col("species1").alias("species"), "own", "nn", F.col("species2").alias("nn_species"), F.col("j").alias("nn_id"), reason.alias("reason"))
 
 
-def shared_barcodes(near: DataFrame, records: DataFrame) -> DataFrame:
+def shared_among(near: DataFrame, records: DataFrame) -> DataFrame:
     """From nearest_of_pairs or nearest_of_records: (species_a, species_b, kind, least, records, shared_bin): pairs of species that the marker does not tell apart;
     renamed if one epithet stands in two genera, else congeneric. Pairs with a suspect are left out."""
     near = _judged(near, records)

@@ -30,7 +30,7 @@ def folder_names(terms: DataFrame, term: str) -> DataFrame:
     """(term, folder): a folder for each term, its name with other characters than letters, digits, _, . and - as _; of
     terms that clean to one name, whatever their case, the later ones, by code points, get ~2, ~3 and so on, which no
     cleaned name holds."""
-    clean = F.regexp_replace(F.col(term), r"[^\w.-]+", "_")
+    clean = F.regexp_replace("term", r"[^\w.-]+", "_")
     each = terms.select(F.col(term).alias("term")).where("term is not null").distinct().withColumn("c", F.when(clean == "", "_").otherwise(clean))
     k = F.row_number().over(Window.partitionBy(F.lower("c")).orderBy("term"))
     return each.withColumn("k", k).select("term", F.when(F.col("k") > 1, F.concat("c", F.lit("~"), "k")).otherwise(F.col("c")).alias("folder"))
