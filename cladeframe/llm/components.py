@@ -12,21 +12,24 @@ from .common import spread_join
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, label) for every node of the edges (a, b): label is the least node of its component.
 
-    Each round hangs a node's greater neighbours on the least one, then its smaller neighbours likewise, until each
-    component is a star; that takes O(log^2 n) rounds. Minima are combined before the shuffle and the joins back deal the
-    neighbours of a hub over several tasks, so a hub is never gathered.
+    Rounds go on until every component is a star around its least node. Each hangs a node's greater neighbours on the least
+    one, then its smaller neighbours likewise; that takes O(log^2 n) rounds. Minima are combined before the shuffle and the
+    joins back deal the neighbours of a hub over several tasks, so a hub is never gathered.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
 
     def seen(edges: DataFrame):
-        """Edges, sums of their ends (which tell whether anything changed), and the most neighbours of a node."""
+        """Ends of edges, the most of them at a node, and how many nodes are not in place: the least of a star, or one of
+        its tips, which has no neighbour but a smaller one."""
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        each = both.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("v") < F.col("u"), F.col("v").cast("decimal(38,0)"))).alias("v"), F.count_if(F.col("v") < F.col("u")).alias("k"))
-        return each.agg(F.sum("n"), F.max("n"), F.sum("v"), F.sum((F.col("u").cast("decimal(19,0)") * F.col("k").cast("decimal(19,0)")).cast("decimal(38,0)"))).first()
+        each = both.groupBy("u").agg(F.count("*").alias("n"), F.count_if(F.col("v") < F.col("u")).alias("k"))
+        return each.agg(F.sum("n"), F.max("n"), F.count_if((F.col("k") > 0) & (F.col("n") > 1))).first()
 
-    before = seen(now)
     for _ in range(most_rounds):
-        load = (before[0] or 0, before[1] or 0)
+        total, most, astray = seen(now)
+        if not astray:
+            break
+        load = (total or 0, most or 0)
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n_")).select("u", F.least("u", "m").alias("m"), "n_")
         large = spread_join(both.where("v > u"), least, ["u"], F.col("v"), load=load).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -35,10 +38,6 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = spread_join(large, least, ["u"], F.col("v"), load=load).select("u", "v", "m")
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialize(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        state = seen(now)
-        if state == before:
-            break
-        before = state
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -27,6 +27,19 @@ from .components import connected
 PAIRS_UP_TO = 48
 
 
+def bit_counts(hashes):
+    """How many of the unsigned 64-bit hashes have each bit set, the highest first."""
+    import numpy as np
+
+    return np.unpackbits(np.asarray(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def block_keys(fp: int) -> list[int]:
+    """The six pairs of blocks of an unsigned fingerprint, each with its number before it."""
+    block = [fp >> 16 * k & 0xFFFF for k in range(4)]
+    return [n << 32 | block[i] << 16 | block[j] for n, (i, j) in enumerate(combinations(range(4), 2))]
+
+
 def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     """64-bit fingerprint as an unsigned number: a bit is set if it is set in over half of the shingles' hashes."""
     import numpy as np
@@ -47,8 +60,7 @@ def fingerprint_of(text: str | None, shingle: int = 3) -> int:
     ones = np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):  # bounded memory for a text of any length
         some = [digest(line[a:b], 42) for a, b in zip(starts[lo : min(n, lo + (1 << 16))], ends[lo + shingle - 1 :])]
-        bits = np.unpackbits(np.array(some, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
+        ones += bit_counts(some)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 

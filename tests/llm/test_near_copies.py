@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from cladeframe.llm import near_copies
+from cladeframe.llm import components, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +81,24 @@ def test_null_and_repeated_ids_keep_their_texts(spark):
     # One row per group of texts, whatever ids they share; an id comes before a null one.
     assert sorted((r[0] or 0, r[1]) for r in got) == sorted([(0, text[0]), (0, text[1]), (7, text[2]), (5, text[3]), (3, text[4] + " more"), (3, text[5])])
     assert sorted(map(str, got)) == sorted(map(str, run(spark, rows[::-1])))
+
+
+def test_simhash_gives_candidates(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(3000)]
+    texts = [" ".join(base[:at] + ["changed"] + base[at + 1 :]) for at in range(0, 3000, 100)]
+    docs = spark.createDataFrame([(i, bytes([i]), t) for i, t in enumerate(texts)], "doc_id long, row binary, text string")
+    keys = {r["doc_id"]: set(r["keys"][:6]) for r in near_copies.signatures(docs).collect()}
+    prints = [near_copies.simhash_of(near_copies.shingles_of(near_copies.normal(t))) for t in texts]
+    near = [(i, j) for i in range(30) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2]
+    assert near and all(keys[i] & keys[j] for i, j in near)
+
+
+def test_stars_take_no_round(spark):
+    """Edges that are stars already are returned as they are; a path is settled."""
+    stars = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "a long, b long")
+    assert sorted(map(tuple, components.connected(stars, most_rounds=1).collect())) == [(1, 1), (2, 2), (5, 1), (6, 1), (7, 2)]
+    path = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    assert {r["label"] for r in components.connected(path).collect()} == {0}
+    none = spark.createDataFrame([], "a long, b long")
+    assert components.connected(none).isEmpty()
