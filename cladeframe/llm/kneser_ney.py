@@ -1,9 +1,10 @@
 """Quality by perplexity: an interpolated modified Kneser-Ney model of trusted text.
 
 The model is over characters, ORDER of them: with words, most words of clean text are unknown here, and an unknown word
-says nothing about how it is spelled. Trusted texts are those labelled good and not toxic. The model is trained on a
-sample of at most TRAIN_DOCS of them, by least hash of id: that is its only bound. Its n-grams are counted by Spark,
-sharded by n-gram; lower orders, discounts and context totals are aggregates of these tables.
+says nothing about how it is spelled. Trusted texts are those labelled good and not toxic. All of them are used, at any
+number: the half with the least hashes of their ids trains the model, and the other half, which the model has not seen, sets
+the thresholds. N-grams are counted by Spark, sharded by n-gram; lower orders, discounts and context totals are aggregates of
+these tables.
 
 Every document is scored over its whole text. The distinct n-grams of all documents, each once, are joined with the
 counts of every order, which gives each its log probability. Those that make up at least HOT of all positions, at most
@@ -11,11 +12,11 @@ counts of every order, which gives each its log probability. Those that make up
 none is hot by definition.
 
 A document goes if its perplexity, drawn towards its language's mean as if PRIOR more characters had been seen, is above
-the language's QUANTILE among the trusted documents outside the sample. A language with fewer than LEAST_KNOWN of those
+the language's QUANTILE among the trusted documents that did not train it. A language with fewer than LEAST_KNOWN of those
 uses the quantile over all.
 
 Cases: a null or empty text is scored on its end alone; a null language is a language of its own; repeated rows get one
-row each; without trusted documents, or with none outside the sample, nothing is rejected; repeated labels count once;
+row each; without trusted documents, or with none besides those that train, nothing is rejected; repeated labels count once;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from ..plans.materialize import materialize
 
-TRAIN_DOCS = 3000
 QUANTILE = 0.995
 PRIOR = 100
 LEAST_KNOWN = 30
@@ -142,16 +142,29 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return own.where("q = 1 and t = 0").select("doc_id", F.xxhash64("doc_id").alias("h"))
 
 
-def train(docs: DataFrame, trusted: DataFrame, max_docs: int = TRAIN_DOCS) -> tuple[tuple | None, int | None]:
-    """(kept characters, tables by order), and the greatest hash in the sample; at most half of the trusted documents
-    are taken."""
-    take = min(max_docs, -(-trusted.count() // 2))
-    if not take:
+def median_hash(trusted: DataFrame) -> int | None:
+    """The greatest hash of the lower half (of an odd number, one more) of the trusted; null without any. Exact: hashes are
+    counted by their leading bits, and only those of the bucket that holds the middle are ordered."""
+    rank = -(-trusted.count() // 2)
+    if not rank:
+        return None
+    bucket = F.shiftright("h", 48)
+    before = 0
+    for row in trusted.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).orderBy("b").toLocalIterator():  # 65,536 at most
+        if before + row["n"] >= rank:
+            break
+        before += row["n"]
+    return trusted.where(bucket == row["b"]).orderBy("h").offset(rank - before - 1).first()["h"]
+
+
+def train(docs: DataFrame, trusted: DataFrame) -> tuple[tuple | None, int | None]:
+    """(kept characters, tables by order) of the half of the trusted documents with the least hashes, and the greatest hash
+    among these."""
+    greatest = median_hash(trusted)
+    if greatest is None:
         return None, None
-    greatest = trusted.orderBy("h").limit(take).agg(F.max("h")).first()[0]
-    # At most max_docs ids: a documented bound for the broadcast.
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(trusted.where(F.col("h") <= greatest).select("doc_id")), "doc_id", "left_semi")
-    sample = materialize(sample.select("text"), "trusted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(trusted.where(F.col("h") <= greatest).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    texts = materialize(texts.select("text"), "trusted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -160,10 +173,10 @@ def train(docs: DataFrame, trusted: DataFrame, max_docs: int = TRAIN_DOCS) -> tu
                 seen.update(t or "")
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["ch", "c"])
 
-    common = sample.mapInArrow(count, "ch string, c long").groupBy("ch").agg(F.sum("c").alias("c"))
+    common = texts.mapInArrow(count, "ch string, c long").groupBy("ch").agg(F.sum("c").alias("c"))
     common = common.where(~F.col("ch").rlike(r"^[\p{Lu}\p{Nd}]$")).orderBy(F.desc("c"), "ch").limit((1 << BITS) - _FIRST).collect()
     kept = "".join(r["ch"] for r in common)
-    return (kept, model_tables(gram_counts(sample, kept))), greatest
+    return (kept, model_tables(gram_counts(texts, kept))), greatest
 
 
 def perplexities(docs: DataFrame, model: tuple) -> DataFrame:
@@ -209,15 +222,15 @@ def perplexities(docs: DataFrame, model: tuple) -> DataFrame:
     return both.select("doc_id", "text_hash", "lang", "n_tokens", F.round(F.col("nats") + F.coalesce("more", F.lit(0.0)), 6).alias("nats"))
 
 
-def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, max_docs: int = TRAIN_DOCS) -> DataFrame:
+def quality_filter(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """Per row: doc_id, text_hash, lang, n_tokens, perplexity, threshold, kept."""
     trusted = materialize(trusted_ids(labels), "trusted_ids")
-    model, greatest = train(docs, trusted, max_docs)
+    model, greatest = train(docs, trusted)
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("lang").cast("string"), F.lit(None).cast("long").alias("n_tokens"), none.alias("perplexity"), none.alias("threshold"), F.lit(True).alias("kept"))
     scored = materialize(perplexities(docs, model), "perplexities")
-    fresh = scored.join(trusted.where(F.col("h") > greatest).select("doc_id"), "doc_id", "left_semi")
+    fresh = scored.join(trusted.where(F.col("h") > greatest).select("doc_id").hint("merge"), "doc_id", "left_semi")
     rate = F.col("nats") / F.col("n_tokens")
     # Rounded, since a sum's last digits hang on its order, and written once for all uses: reruns agree.
     mean = F.round(F.avg(rate), 9)
