@@ -157,13 +157,23 @@ def median_hash(trusted: DataFrame) -> int | None:
     return trusted.where(bucket == row["b"]).orderBy("h").offset(rank - before - 1).first()["h"]
 
 
+def may_be_among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs without most of those whose doc_id is not among ids, so that their texts need not be shuffled: a table
+    of 65,536 rows of 64 bits at most, whatever the number of ids, tells which may be; it lets too many through at worst."""
+    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 22))
+    at = [F.shiftright(place, 6).alias("w_"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id, 1), 64) as int))").alias("bit_")]
+    table = ids.select(*at).groupBy("w_").agg(F.bit_or("bit_").alias("bits_"))
+    return docs.select("*", *at).join(F.broadcast(table), "w_").where(F.col("bit_").bitwiseAND(F.col("bits_")) != 0).drop("w_", "bit_", "bits_")
+
+
 def train(docs: DataFrame, trusted: DataFrame) -> tuple[tuple | None, int | None]:
     """(kept characters, tables by order) of the half of the trusted documents with the least hashes, and the greatest hash
     among these."""
     greatest = median_hash(trusted)
     if greatest is None:
         return None, None
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(trusted.where(F.col("h") <= greatest).select("doc_id").hint("merge"), "doc_id", "left_semi")
+    ids = trusted.where(F.col("h") <= greatest).select("doc_id")
+    texts = may_be_among(docs.select(F.col("doc_id").cast("long"), "text"), ids).join(ids.hint("merge"), "doc_id", "left_semi")
     texts = materialize(texts.select("text"), "trusted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,3 +22,10 @@ def test_median_hash(spark):
         h = [rnd.randrange(-(1 << 63), 1 << 63) if k % 2 else rnd.randrange(1000) for k in range(n)]
         got = kneser_ney.median_hash(spark.createDataFrame([(k, x) for k, x in enumerate(h)], "doc_id long, h long"))
         assert got == (sorted(h)[-(-n // 2) - 1] if n else None)
+
+
+def test_ids_are_among(spark):
+    docs = spark.range(-5000, 5000).selectExpr("id AS doc_id")
+    ids = docs.where("doc_id % 100 = 0")
+    left = kneser_ney.may_be_among(docs, ids)
+    assert ids.join(left, "doc_id", "left_anti").isEmpty() and left.count() < 200
