@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import discard, materialize
 
 QUANTILE = 0.995
 PRIOR = 100
@@ -132,7 +132,8 @@ def gram_nats(grams: DataFrame, tables: list[tuple[DataFrame, DataFrame]], class
         else:
             met = met.withColumn("end", last(F.col("key"), k - 1)).join(p.select(F.col("key").alias("end"), F.col("p").alias("p0")).hint("merge"), "end")
         seen = (F.coalesce(F.col("c") - F.col("d"), F.lit(0.0)) + F.col("rest") * F.col("p0")) / F.col("total")
-        p = met.select("key", F.coalesce(seen, F.col("p0")).alias("p"))
+        # Written order by order: all joins as one plan would be planned anew in the driver after each of its shuffles.
+        p = materialize(met.select("key", F.coalesce(seen, F.col("p0")).alias("p")), f"nats{k}")
     return p.select("key", (-F.log("p")).alias("nats"))
 
 
@@ -173,7 +174,8 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[tuple | None, int | None
     if greatest is None:
         return None, None
     ids = trusted.where(F.col("h") <= greatest).select("doc_id")
-    texts = may_be_among(docs.select(F.col("doc_id").cast("long"), "text"), ids).join(ids.hint("merge"), "doc_id", "left_semi")
+    # Not a semi-join: Spark would move that below may_be_among, and shuffle every text. The ids are distinct.
+    texts = may_be_among(docs.select(F.col("doc_id").cast("long"), "text"), ids).join(ids.hint("merge"), "doc_id")
     texts = materialize(texts.select("text"), "trusted")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +188,9 @@ def train(docs: DataFrame, trusted: DataFrame) -> tuple[tuple | None, int | None
     common = texts.mapInArrow(count, "ch string, c long").groupBy("ch").agg(F.sum("c").alias("c"))
     common = common.where(~F.col("ch").rlike(r"^[\p{Lu}\p{Nd}]$")).orderBy(F.desc("c"), "ch").limit((1 << BITS) - _FIRST).collect()
     kept = "".join(r["ch"] for r in common)
-    return (kept, model_tables(gram_counts(texts, kept))), greatest
+    tables = model_tables(gram_counts(texts, kept))
+    discard(texts)  # the tables are files of their own
+    return (kept, tables), greatest
 
 
 def perplexities(docs: DataFrame, model: tuple) -> DataFrame:
