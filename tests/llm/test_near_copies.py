@@ -94,6 +94,48 @@ def test_simhash_gives_candidates(spark):
     assert near and all(keys[i] & keys[j] for i, j in near)
 
 
+def test_a_large_group_of_far_variants(spark, monkeypatch):
+    """Variants of one text that share keys, most of them too far from each other: not paired with all others."""
+    rnd = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    base = [rnd.choice(vocabulary) for _ in range(150)]
+    texts = []
+    for i in range(240):
+        w = list(base)
+        for at in rnd.sample(range(len(w)), 5 if i % 3 else 2):
+            w[at] = rnd.choice(vocabulary)
+        texts.append(" ".join(w))
+    rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    counts, verified = [], near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, shingles: (counts.append(pairs.count()), verified(pairs, shingles))[1])
+    got = run(spark, rows)
+    least = {}
+    for i, g in enumerate(brute_groups(texts)):
+        least.setdefault(g, i)
+    assert sorted(r[0] for r in got) == sorted(least.values()) and len(least) > 100
+    assert len(counts) == 2 and counts[1] < 5 * len(rows), counts
+
+
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """Sets on both sides of 0.8, of unequal sizes, with shingles that nearly all share; also in small blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK", 3)
+    rnd = random.Random(9)
+    drawn = lambda k: {rnd.randrange(-(1 << 63), 1 << 63) for _ in range(k)}
+    sets = [drawn(1), drawn(2)]
+    for size in (1, 4, 5, 9, 40, 90):
+        base, pool = drawn(size), sorted(drawn(12))
+        for _ in range(16):
+            gone = set(rnd.sample(sorted(base), rnd.randint(0, size // 4)))
+            sets.append((base - gone) | set(rnd.sample(pool, rnd.randint(0, min(12, size // 4)))))
+    texts = spark.createDataFrame([(i, sorted(x), i) for i, x in enumerate(sets)], "norm long, s array<long>, label long")
+    got = {tuple(r) for r in near_copies.prefix_pairs(texts).collect()}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    exact = {(i, j) for i, j in want if 5 * len(sets[i] & sets[j]) == 4 * len(sets[i] | sets[j])}
+    assert want <= got and len(want) > 100 and exact and len(got) < len(sets) * (len(sets) - 1) // 4
+    one = spark.createDataFrame([(i, sorted(x), 0) for i, x in enumerate(sets)], "norm long, s array<long>, label long")
+    assert near_copies.prefix_pairs(one).isEmpty() and near_copies.prefix_pairs(texts.limit(0)).isEmpty()
+
+
 def test_stars_take_no_round(spark):
     """Edges that are stars already are returned as they are; a path is settled."""
     stars = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "a long, b long")
