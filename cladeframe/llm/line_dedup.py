@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import materialize, only
 from .common import id_key, n_words, spread_join, whole_row
 
 MIN_WORDS = 50
@@ -114,9 +114,13 @@ def later_copies(runs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with later copies of repeated runs cut from `text`, plus _n_lines and _n_removed."""
-    lines = materialize(_line_table(docs).distinct(), "lines")
-    gone = later_copies(repeated_runs(lines, min_words)).select(*_DOC, F.explode(F.sequence("a", "z")).alias("i"))
-    gone = materialize(gone.groupBy(*_DOC).agg(F.collect_set("i").alias("gone")), "gone")
+
+    def cut() -> DataFrame:
+        lines = materialize(_line_table(docs).distinct(), "lines")
+        gone = later_copies(repeated_runs(lines, min_words)).select(*_DOC, F.explode(F.sequence("a", "z")).alias("i"))
+        return gone.groupBy(*_DOC).agg(F.collect_set("i").alias("gone"))
+
+    gone = only("gone", cut)
     # `gone` grows with the input: never broadcast, so that the join costs alike at every size.
     own = docs.select(whole_row(docs), id_key(F.col("doc_id")).alias("d"), F.xxhash64("text").alias("t"))
     both = own.join(gone.hint("merge"), _DOC, "left").withColumn("lines", F.split("row_.text", "\n", -1))
