@@ -144,3 +144,24 @@ def test_stars_take_no_round(spark):
     assert {r["label"] for r in components.connected(path).collect()} == {0}
     none = spark.createDataFrame([], "a long, b long")
     assert components.connected(none).isEmpty()
+
+
+def test_pairs_that_share_no_key(spark, monkeypatch):
+    """The keys only save work: near copies that none of them brings together are found by their first shingles."""
+    import numpy as np
+
+    for name in ("simhash_keys", "band_keys"):
+        monkeypatch.setattr(near_copies, name, lambda s: np.empty(0, np.uint64))
+    rows = [(i, t, "en", "web", len(t or "")) for i, t in enumerate(planted(12))]
+    least = {}
+    for i, g in enumerate(brute_groups([r[1] for r in rows])):
+        least.setdefault(g, i)
+    assert sorted(r[0] for r in run(spark, rows)) == sorted(least.values()) and len(least) < len(rows) - 60
+
+
+def test_rows_of_the_main_label_do_not_meet(spark):
+    """A large group of one label that shares shingles with a few others meets these, not itself."""
+    shared = list(range(1, 11))
+    sets = [(i, sorted([*shared, 1000 + i]), 0) for i in range(300)] + [(300 + i, sorted([*shared, 5000 + i]), 300 + i) for i in range(3)]
+    got = {tuple(r) for r in near_copies.prefix_pairs(spark.createDataFrame(sets, "norm long, s array<long>, label long")).collect()}
+    assert got == {(i, j) for j in range(300, 303) for i in range(j)}
