@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from ..functions.text import fold
 from ..plans.materialize import materialize
@@ -60,22 +63,51 @@ def value_lists(df: DataFrame, key: str, value: str, most: int = 3) -> DataFrame
     return ranked.groupBy("key").agg(F.count("*").alias("n_values"), F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["s"]), "; ").alias("top_values"))
 
 
+#: Rows of both snapshots that are compared in one pass: what a pass shuffles is bounded by them.
+PASS_ROWS = 1 << 25
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: list[str], old_id: str, new_id: str) -> DataFrame:
     """(op, old_id, new_id) with op same, chg, new or gone.
 
     Copies are numbered within (key, hash): equal numbers are the same row. What is left is paired by number within the
-    key. Both steps partition by the key first, so one exchange serves them.
-    """
-    n1 = lambda df, i: df.withColumn("_k", F.row_number().over(Window.partitionBy(*key, "h").orderBy(i)))
-    o = n1(old.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key], "h", F.col(old_id).alias("old_id")), "old_id")
-    n = n1(new.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in key], "h", F.col(new_id).alias("new_id")), "new_id")
-    both = o.join(n, [*key, "h", "_k"], "full_outer")
-    same = both.where("old_id is not null and new_id is not null").select(F.lit("same").alias("op"), "old_id", "new_id")
-    left = both.where("old_id is null or new_id is null")
-    n2 = lambda i: left.where(f"{i} is not null").withColumn("_j", F.row_number().over(Window.partitionBy(*key).orderBy(i))).select(*key, "_j", i)
-    paired = n2("old_id").join(n2("new_id"), [*key, "_j"], "full_outer")
-    op = F.when(F.col("old_id").isNull(), "new").when(F.col("new_id").isNull(), "gone").otherwise("chg")
-    return same.unionByName(paired.select(op.alias("op"), "old_id", "new_id"))
+    key."""
+    passes = diff_passes(old, new, key, old_id, new_id)
+    if len(passes) > 1:
+        passes = [materialize(p, "diff") for p in passes]
+    return reduce(DataFrame.unionByName, passes)
+
+
+def diff_passes(old: DataFrame, new: DataFrame, key: list[str], old_id: str, new_id: str, carried: list[str] | None = None) -> list[DataFrame]:
+    """What snapshot_diff gives, in parts of whole keys with about PASS_ROWS rows of the snapshots each, with the columns
+    `carried` of the new row, or of the old one where op is same or gone. Both snapshots are laid together, so that one
+    exchange by key serves all steps; written part by part, the parts' shuffle files do not add up."""
+    plain = lambda c: {df.schema[c].dataType for df in (old, new)} in ({IntegerType()}, {LongType()})
+    keys = [f"_key{k}" for k in range(len(key))]
+    told = [(F.col(c) if plain(c) else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(k) for c, k in zip(key, keys)]
+    side = lambda df, i, s: df.select(*told, F.col("h").alias("_h"), F.col(i).alias("_id"), F.lit(s).alias("_side"), *(carried or []))
+    rows = side(old, old_id, 0).unionByName(side(new, new_id, 1))
+    passes = max(1, -(-rows.count() // PASS_ROWS))
+    of = F.pmod(F.xxhash64(*keys), F.lit(passes))
+    return [_differences(rows if passes == 1 else rows.where(of == k), keys, carried or []) for k in range(passes)]
+
+
+def _differences(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    def number(*of: str) -> Column:
+        return F.row_number().over(Window.partitionBy(*keys, *of, "_side").orderBy("_id"))
+
+    def other(*of: str) -> Column:
+        """The id of the other side's row of this number."""
+        both = Window.partitionBy(*keys, *of).orderBy("_side")
+        return F.coalesce(F.lead("_id").over(both), F.lag("_id").over(both))
+
+    rows = rows.repartition(*keys).withColumn("_k", number("_h")).withColumn("_same", other("_h", "_k"))
+    rows = rows.withColumn("_met", F.col("_same").isNotNull()).where("not _met or _side = 0")
+    rows = rows.withColumn("_j", number("_met")).withColumn("_mate", other("_met", "_j")).where("_met or _mate is null or _side = 1")
+    op = F.when(F.col("_met"), "same").when(F.col("_mate").isNotNull(), "chg").when(F.col("_side") == 0, "gone").otherwise("new")
+    old = F.when(F.col("_side") == 0, F.col("_id")).otherwise(F.col("_mate"))
+    new = F.when(F.col("_met"), F.col("_same")).when(F.col("_side") == 1, F.col("_id"))
+    return rows.select(op.alias("op"), old.alias("old_id"), new.alias("new_id"), *carried)
 
 
 def change_rate(diff: DataFrame, most: float = 0.10) -> DataFrame:
